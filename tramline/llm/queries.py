@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm import decontam, langid, quality
+from tramline.llm import decontam, langid, minhash, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,9 +69,40 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents over distinct 2-word shingles at a similarity of 0.8."""
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
+OP9_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 2 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS sh
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 1))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS k FROM s GROUP BY doc_id),
+f AS (SELECT doc_id, k, md5(string_agg(sh, chr(10) ORDER BY sh)) AS own FROM s JOIN n USING (doc_id) GROUP BY doc_id, k),
+r AS (SELECT min(doc_id) AS rep, any_value(k) AS k, own FROM f GROUP BY own),
+rs AS (SELECT s.* FROM s JOIN r ON s.doc_id = r.rep),
+pairs AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+  FROM rs x JOIN rs y ON x.sh = y.sh AND x.doc_id < y.doc_id GROUP BY ALL),
+e AS (
+  SELECT a, b FROM pairs JOIN r ra ON ra.rep = a JOIN r rb ON rb.rep = b WHERE 100 * c >= 80 * (ra.k + rb.k - c)),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (
+  SELECT rep AS x, rep AS y FROM r UNION SELECT reach.x, l.b FROM reach JOIN l ON reach.y = l.a),
+c AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT d.doc_id, CAST(coalesce(n.k, 0) AS BIGINT) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id,
+  d.doc_id = coalesce(c.component_id, d.doc_id) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN f ON f.doc_id = d.doc_id LEFT JOIN r ON r.own = f.own LEFT JOIN c ON c.x = r.rep
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_language_id": op3_language_id,
     "op4_quality_rules": op4_quality_rules,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
-SQL: dict[str, str] = {"op2_decontamination": OP2_SQL}
+SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op9_minhash_near_dedup": OP9_SQL}
