@@ -7,13 +7,87 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm import decontam, langid, minhash, quality
+from tramline.llm import chat, decontam, langid, minhash, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and -7, formatted into windows and read back from them."""
+    escaped = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(escaped).alias("text"),
+    )
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    made = chat.windows(rows.unionByName(extra))
+    turns = F.filter(chat.read_turns(F.col("formatted")), lambda t, k: k >= F.col("n_repeated"))
+    back = made.select("conv_id", "window", "formatted", turns.alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss")).alias("targets"))
+    told = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    part = F.struct(
+        "window", F.array_join(told, "").alias("told"), F.array_join("targets", "").alias("target"),
+    )
+    whole = back.groupBy("conv_id").agg(
+        F.sum(F.size("turns")).cast("long").alias("n_turns"), F.array_sort(F.collect_list(part)).alias("parts"),
+        F.sum(F.length("formatted")).cast("long").alias("formatted_chars"), F.count(F.lit(1)).alias("n_windows"),
+    )
+    target = F.array_join("parts.target", "")
+    return whole.select(
+        "conv_id", "n_turns", F.sha2(F.array_join("parts.told", ""), 256).alias("turns_sha256"),
+        F.length(target).cast("long").alias("loss_chars"), F.sha2(target, 256).alias("loss_sha256"), "formatted_chars", "n_windows",
+    )
+
+
+def _op1_sql() -> str:
+    budget = chat.Budget()
+
+    def escaped(column: str) -> str:
+        out = f"replace({column}, '{chat.MARK}', '{chat.MARK}0')"
+        for c in chat.CONTROL:
+            out = f"replace({out}, '{c}', '{c[0]}{chat.MARK}1{c[1:]}')"
+        return out
+
+    return rf"""
+WITH r AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (
+  SELECT *, row_number() OVER o - 1 AS pos, len(regexp_extract_all(text, '{chat.TOKEN}')) + {chat.OVERHEAD} AS tok,
+    length({escaped("role")}) + length({escaped("text")}) + {len(chat.START + chat.BODY + chat.END)} AS chars
+  FROM r WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+s AS (SELECT *, pos = 0 AND role = 'system' AS sys FROM t),
+p AS (
+  SELECT *, max(CASE WHEN sys THEN tok END) OVER (PARTITION BY conv_id) AS sys_tok,
+    sum(CASE WHEN sys THEN 0 ELSE tok END) OVER (PARTITION BY conv_id ORDER BY pos) - CASE WHEN sys THEN 0 ELSE tok END AS ofs
+  FROM s),
+k AS (
+  SELECT *, greatest({budget.window - budget.history} - coalesce(sys_tok, 0), 1) AS room FROM p),
+f AS (
+  SELECT *, CASE WHEN sys THEN NULL ELSE (ofs // room) || ':' || ((ofs + tok - 1) // room) END AS key FROM k),
+g AS (
+  SELECT *, NOT sys AND (lag(key) OVER o IS NULL OR lag(key) OVER o <> key) AS is_first
+  FROM f WINDOW o AS (PARTITION BY conv_id ORDER BY pos)),
+h AS (SELECT *, sum(CAST(is_first AS INT)) OVER (PARTITION BY conv_id ORDER BY pos) - 1 AS span FROM g),
+n AS (SELECT conv_id, greatest(max(span), 0) AS last FROM h GROUP BY conv_id),
+copies AS (
+  SELECT h.conv_id, h.pos, count(*) AS again FROM h JOIN h l ON h.conv_id IS NOT DISTINCT FROM l.conv_id AND l.is_first
+    AND l.ofs BETWEEN h.ofs + 1 AND h.ofs + {budget.history} AND NOT h.sys GROUP BY ALL),
+c AS (
+  SELECT h.conv_id, sum(h.chars * CASE WHEN h.sys THEN 1 + n.last ELSE 1 + coalesce(copies.again, 0) END) AS chars, max(n.last) + 1 AS n_windows
+  FROM h JOIN n ON n.conv_id IS NOT DISTINCT FROM h.conv_id
+  LEFT JOIN copies ON copies.conv_id IS NOT DISTINCT FROM h.conv_id AND copies.pos = h.pos GROUP BY h.conv_id),
+d AS (
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+    coalesce(string_agg(text, '' ORDER BY pos) FILTER (WHERE role = 'assistant'), '') AS loss
+  FROM t GROUP BY conv_id)
+SELECT d.conv_id, d.n_turns, d.turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
+  CAST(c.chars AS BIGINT) AS formatted_chars, CAST(c.n_windows AS BIGINT) AS n_windows
+FROM d JOIN c ON c.conv_id IS NOT DISTINCT FROM d.conv_id
+"""
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against the whole benchmark."""
     found = decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -100,9 +174,10 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN f ON f.doc_id = d.doc_id LEFT JOIN r
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_formatting": op1_chat_formatting,
     "op2_decontamination": op2_decontamination,
     "op3_language_id": op3_language_id,
     "op4_quality_rules": op4_quality_rules,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
-SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op9_minhash_near_dedup": OP9_SQL}
+SQL: dict[str, str] = {"op1_chat_formatting": _op1_sql(), "op2_decontamination": OP2_SQL, "op9_minhash_near_dedup": OP9_SQL}
