@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tramline.llm.shared import discard, written
@@ -73,57 +73,98 @@ def _open(members: DataFrame) -> DataFrame:
     return members.join(split.select("key"), "key", "left_semi")
 
 
-def link_buckets(
-    members: DataFrame, verify: Callable[[DataFrame], DataFrame], sketch: DataFrame | None = None,
-    alike: Callable | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """Components of all verified links between ids that share a key, and the links found.
+class Buckets:
+    """Ids that share a key, and the links among them.
 
-    members: (key, id), distinct. verify: (a, b) -> (a, b, sim, linked), deciding
-    exactly. No pair inside a component found so far is looked at:
+    members: key, id and the columns of `carry`; a member may occur twice. No pair
+    inside a component found so far is looked at:
 
-    1. every member against its key's smallest id;
+    1. every member against its key's smallest id (`pairs`);
     2. where a key still holds several components, members of other components
        against the member most like the first head (in a group of edited copies
        that is the least edited one);
     3. what is left: members outside the second head's component against those of
-       other components, filtered by `alike` on the rows of `sketch` (id, s...).
+       other components.
 
     Heads leave their keys once all their pairs there are decided, so that step 3
-    covers every undecided pair and no link is lost.
+    covers every undecided pair and no link is lost. Keys of two members, nearly
+    all of them, need no join: the aggregate holds the pair.
+
+    alike(x, y) is a condition on the columns of two members (names prefixed by
+    "x." and "y.") that every linked pair meets. With `carry`, members hold its
+    columns; else they come from `sketch` (id, ...).
     """
-    heads = members.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("tail")).where("head <> tail")
-    star = members.join(heads.select("key", "head"), "key").where("id <> head")
-    first = written(verify(star.select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()), "decided")
-    links = first.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    found = written(components(links), "components")
-    rest = written(_open(_with_component(star.select("key", "head", "id"), found)), "open")
-    if rest.isEmpty():
-        return found, links
-
-    near = rest.join(first.select(F.col("a").alias("head"), F.col("b").alias("id"), "sim"), ["head", "id"])
-    second = near.groupBy("key").agg(F.max_by(F.struct("id", "comp"), F.struct("sim", "id")).alias("h"))
-    second = written(second.select("key", F.col("h.id").alias("head"), F.col("h.comp").alias("head_comp")), "heads")
-    spokes = rest.select("key", "id", "comp").join(second, "key").where("id <> head")
-    pairs = spokes.where("comp <> head_comp").select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b"))
-    more = written(verify(pairs.distinct()), "decided")
-    links = links.union(more.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
-    found = written(components(links), "components")
-    left = _with_component(spokes.select("key", "id", "head"), found).join(
-        found.select(F.col("node").alias("head"), F.col("component").alias("hc")), "head", "left"
-    ).withColumn("head_comp", F.coalesce("hc", "head"))
-    left = written(_open(left.select("key", "id", "comp", "head_comp")), "open")
-    if left.isEmpty():
-        return found, links
-
-    if sketch is not None:
-        left = left.join(sketch, "id")
-    x, y = left.where("comp <> head_comp").alias("x"), left.alias("y")
-    new = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp"))
-    new &= (F.col("y.comp") == F.col("y.head_comp")) | (F.col("x.id") < F.col("y.id"))
-    if alike is not None:
-        new &= alike("x", "y")
-    pairs = x.join(y, new).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-    last = written(verify(pairs.distinct()), "decided")
-    links = links.union(last.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
-    return written(components(links), "components"), links
+
+    def __init__(
+        self, members: DataFrame, carry: tuple[str, ...] = (), alike: Callable[[str, str], Column] | None = None,
+        sketch: DataFrame | None = None,
+    ):
+        self.members, self.carry, self.alike, self.sketch = members, carry, alike, sketch
+        one = F.struct("id", *carry)
+        ends = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("x"), F.max(one).alias("y"))
+        self.ends = written(ends.where("x.id <> y.id"), "buckets")
+        large = self.ends.where("n > 2").select("key", "x")
+        star = members.join(large, "key").withColumnRenamed("id", "own").where("own <> x.id")
+        star = star.select("key", "x", F.struct(F.col("own").alias("id"), *carry).alias("y")).distinct()
+        self.star = written(star, "star")
+        pairs = self.ends.where("n = 2").select("x", "y").union(self.star.select("x", "y"))
+        if carry and alike is not None:
+            pairs = pairs.where(alike("x", "y"))
+        pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+        self.pairs = written(self._screened(pairs.distinct()), "pairs")
+
+    def _screened(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose sketches are alike."""
+        if self.sketch is None or self.alike is None:
+            return pairs
+        x = self.sketch.select(F.col("id").alias("a"), F.struct(*self.sketch.columns).alias("x"))
+        y = self.sketch.select(F.col("id").alias("b"), F.struct(*self.sketch.columns).alias("y"))
+        return pairs.join(x, "a").join(y, "b").where(self.alike("x", "y")).select("a", "b")
+
+    def candidates(self) -> DataFrame:
+        """id: everything that a step may verify."""
+        ids = self.pairs.select(F.explode(F.array("a", "b")).alias("id"))
+        return ids.union(self.star.select("y.id")).distinct()
+
+    def link(self, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """node, component of all linked ids. verify: (a, b) -> (a, b, sim, linked), deciding exactly."""
+        first = written(verify(self.pairs), "decided")
+        links = first.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        found = written(components(links), "components")
+        star = self.star.select("key", F.col("x.id").alias("head"), "y.*")
+        rest = written(_open(_with_component(star, found)), "open")
+        if rest.isEmpty():
+            return found
+
+        sims = first.select(F.col("a").alias("head"), F.col("b").alias("id"), "sim")
+        near = rest.join(sims, ["head", "id"], "left").withColumn("sim", F.coalesce("sim", F.lit(-1.0)))
+        second = near.groupBy("key").agg(F.max_by(F.struct("id", "comp", *self.carry), F.struct("sim", "id")).alias("x"))
+        second = written(second, "heads")
+        spokes = rest.drop("head").join(second, "key").where("id <> x.id")
+        spokes = spokes.select("key", "x", F.struct("id", "comp", *self.carry).alias("y"))
+        fresh = F.col("x.comp") != F.col("y.comp")
+        if self.carry and self.alike is not None:
+            fresh &= self.alike("x", "y")
+        pairs = spokes.where(fresh).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+        more = written(verify(self._screened(pairs.distinct())), "decided")
+        links = links.union(more.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
+        found = written(components(links), "components")
+        left = spokes.select("key", F.col("x.id").alias("head"), "y.*").drop("comp")
+        left = _with_component(left, found).join(
+            found.select(F.col("node").alias("head"), F.col("component").alias("hc")), "head", "left"
+        ).withColumn("head_comp", F.coalesce("hc", "head"))
+        left = written(_open(left.drop("head", "hc")), "open")
+        if left.isEmpty():
+            return found
+
+        if self.sketch is not None:
+            left = left.join(self.sketch, "id")
+        x, y = left.where("comp <> head_comp").alias("x"), left.alias("y")
+        new = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp"))
+        new &= (F.col("y.comp") == F.col("y.head_comp")) | (F.col("x.id") < F.col("y.id"))
+        if self.alike is not None:
+            new &= self.alike("x", "y")
+        pairs = x.join(y, new).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+        last = written(verify(pairs.distinct()), "decided")
+        links = links.union(last.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
+        return written(components(links), "components")

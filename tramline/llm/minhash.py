@@ -26,10 +26,10 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tramline.llm.graph import link_buckets
+from tramline.llm.graph import Buckets
 from tramline.llm.shared import ASCII_LOWER, text_bytes, written
 
 BANDS, ROWS = 45, 6
@@ -129,6 +129,12 @@ def _sets(width: int):
     return run
 
 
+def _alike(x: str, y: str) -> Column:
+    """Sketches as close as those of a pair at the least similarity are, but for once in 10**7."""
+    parts = [F.bit_count(F.col(f"{x}.s{k}").bitwiseXOR(F.col(f"{y}.s{k}"))) for k in range(SKETCH_WORDS)]
+    return reduce(lambda p, q: p + q, parts) <= SKETCH_MISMATCHES
+
+
 def near_duplicates(
     docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -142,10 +148,9 @@ def near_duplicates(
         ).select("set_id", "id", "x.keys", "x.sketch", "x.n_shingles"),
         "sets",
     )
-    members = sets.select("id", F.explode("keys").alias("key")).distinct()
-    shared = members.groupBy("key").agg(F.min("id").alias("i0"), F.max("id").alias("i1")).where("i0 <> i1")
-    members = written(members.join(shared.select("key"), "key", "left_semi"), "bands")
-    wanted = members.select("id").distinct().join(sets.select("id", "set_id"), "id")
+    sketch = sets.select("id", *[F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH_WORDS)]).dropDuplicates(["id"])
+    buckets = Buckets(sets.select("id", F.explode("keys").alias("key")), alike=_alike, sketch=sketch)
+    wanted = buckets.candidates().join(sets.select("id", "set_id"), "id")
     texts = wanted.join(slim, F.col("id") == F.col("doc_id")).select("doc_id", "set_id", "text")
     items = texts.mapInArrow(_sets(width), "doc_id long, own_id binary, items array<long>").where("own_id is not null")
     # A doc_id of several rows may hold several sets: all of them stand for the node.
@@ -161,12 +166,7 @@ def near_duplicates(
             .select("a", "b", (F.col("n") / (F.col("total") - F.col("n"))).alias("sim"), (F.col("n") * 100 >= (F.col("total") - F.col("n")) * percent).alias("linked"))
         )
 
-    def alike(x: str, y: str):
-        parts = [F.bit_count(F.col(f"{x}.s{k}").bitwiseXOR(F.col(f"{y}.s{k}"))) for k in range(SKETCH_WORDS)]
-        return reduce(lambda p, q: p + q, parts) <= SKETCH_MISMATCHES
-
-    sketch = sets.select("id", *[F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH_WORDS)]).dropDuplicates(["id"])
-    found, _ = link_buckets(members, verify, sketch, alike)
+    found = buckets.link(verify)
     # Rows of equal sets, and rows of one doc_id, lead to the same node.
     names = sets.select("set_id", "id").join(found, F.col("id") == F.col("node"), "left")
     names = names.select("set_id", F.coalesce("component", "id").alias("c"))
