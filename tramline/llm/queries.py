@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm import chat, decontam, langid, minhash, quality
+from tramline.llm import chat, decontam, langid, linedup, minhash, mixing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -143,6 +143,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without repeated lines."""
+    found = linedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", "n_lines", "n_removed_lines")
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents over distinct 2-word shingles at a similarity of 0.8."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=2, percent=80)
@@ -173,11 +179,66 @@ SELECT d.doc_id, CAST(coalesce(n.k, 0) AS BIGINT) AS n_shingles, coalesce(c.comp
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN f ON f.doc_id = d.doc_id LEFT JOIN r ON r.own = f.own LEFT JOIN c ON c.x = r.rep
 """
 
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability and draw of every document under the default targets."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    found = mixing.mix(docs, {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic_of(F.col("text"))})
+    return found.select(
+        "doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"),
+        F.round("mix_weight", 6).alias("weight"), F.round("mix_prob", 6).alias("prob"), F.col("mix_kept").alias("sampled"),
+    )
+
+
+def _op10_sql(rounds: int = 30) -> str:
+    dims = ("source", "lang", "topic")
+    powers = mixing.DEFAULT_TARGETS
+    steps, last = [], "c0"
+    for k in range(rounds):
+        for d in dims:
+            name = f"c{k}_{d}"
+            steps.append(
+                f"{name} AS (SELECT * REPLACE (fit * coalesce(s_{d} * total / nullif(sum(fit) OVER (PARTITION BY {d}), 0), 0) AS fit) FROM {last})"
+            )
+            last = name
+    shares = ", ".join(
+        f"CASE WHEN o_{d} > 0 THEN power(o_{d}, {powers[d]}) ELSE 0 END / (SELECT sum(power(x, {powers[d]})) "
+        f"FROM (SELECT sum(t) AS x FROM cells GROUP BY {d}) WHERE x > 0) AS s_{d}"
+        for d in dims
+    )
+    owns = ", ".join(f"sum(t) OVER (PARTITION BY {d}) AS o_{d}" for d in dims)
+    chain = ",\n".join(steps)
+    return rf"""
+WITH d AS (
+  SELECT doc_id, source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens,
+    CASE WHEN text IS NULL THEN 'none' WHEN regexp_matches(text, '(?i)licen[sc]e|copyright') THEN 'licensed'
+      WHEN regexp_matches(text, '[#*$%&|<>]') THEN 'marked' WHEN regexp_matches(text, '[0-9]{{3}}') THEN 'numeric' ELSE 'prose' END AS topic,
+    CAST('0x' || substr(md5('{mixing.SEED}:' || doc_id), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
+  FROM documents),
+cells AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS t FROM d GROUP BY ALL),
+own AS (SELECT *, {owns}, sum(t) OVER () AS total FROM cells),
+c0 AS (SELECT source, lang, topic, t, t AS fit, total, {shares} FROM own),
+{chain},
+w AS (SELECT source, lang, topic, t, total, CASE WHEN t > 0 THEN fit / t ELSE 0 END AS w FROM {last}),
+o AS (
+  SELECT *, coalesce(sum(t) OVER (ORDER BY w DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sure,
+    sum(w * t) OVER (ORDER BY w DESC, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM w),
+sc AS (
+  SELECT coalesce((SELECT ({mixing.KEEP} * total - sure) / rest FROM o WHERE w > 0 AND rest > 0 AND ({mixing.KEEP} * total - sure) / rest * w <= 1
+    ORDER BY w DESC, source, lang, topic LIMIT 1), (SELECT max(1 / nullif(w, 0)) FROM o)) AS scale),
+p AS (SELECT source, lang, topic, w, least(1.0, greatest(0.0, scale * w)) AS prob FROM w, sc)
+SELECT d.doc_id, d.source, d.lang, d.topic, d.n_tokens, round(CASE WHEN n_tokens = 0 THEN 1.0 ELSE w END, 6) AS weight,
+  round(CASE WHEN n_tokens = 0 THEN {mixing.KEEP} ELSE prob END, 6) AS prob, u < CASE WHEN n_tokens = 0 THEN {mixing.KEEP} ELSE prob END AS sampled
+FROM d JOIN p ON p.source IS NOT DISTINCT FROM d.source AND p.lang IS NOT DISTINCT FROM d.lang AND p.topic = d.topic
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_decontamination": op2_decontamination,
     "op3_language_id": op3_language_id,
     "op4_quality_rules": op4_quality_rules,
+    "op6_line_dedup": op6_line_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_source_mixing": op10_source_mixing,
 }
-SQL: dict[str, str] = {"op1_chat_formatting": _op1_sql(), "op2_decontamination": OP2_SQL, "op9_minhash_near_dedup": OP9_SQL}
+SQL: dict[str, str] = {"op1_chat_formatting": _op1_sql(), "op2_decontamination": OP2_SQL, "op9_minhash_near_dedup": OP9_SQL, "op10_source_mixing": _op10_sql()}
