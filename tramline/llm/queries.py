@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm import chat, decontam, langid, linedup, minhash, mixing, quality
+from tramline.llm import chat, decontam, html, langid, linedup, minhash, mixing, quality, warc
+from tramline.llm.shared import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -143,12 +144,37 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives in the shared folder and read back."""
+    path = new_path(spark, "warc")
+    warc.write(_table(spark, sf_dir, "pages"), path)
+    found = warc.records(warc.read(spark, path, bodies=False))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP5_SQL = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT h, max(page_id) AS top, count(*) AS n FROM p GROUP BY h)
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(generate_series(0, 31), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((CAST('0x' || substr(p.h, 1 + 5 * (k // 4), 5) AS BIGINT) >> (15 - 5 * (k % 4))) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+FROM p JOIN m USING (h)
+"""
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without repeated lines."""
     found = linedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "text", "n_lines", "n_removed_lines")
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents over distinct 2-word shingles at a similarity of 0.8."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=2, percent=80)
@@ -237,8 +263,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_language_id": op3_language_id,
     "op4_quality_rules": op4_quality_rules,
+    "op5_warc": op5_warc,
     "op6_line_dedup": op6_line_dedup,
+    "op7_main_text": op7_main_text,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_source_mixing": op10_source_mixing,
 }
-SQL: dict[str, str] = {"op1_chat_formatting": _op1_sql(), "op2_decontamination": OP2_SQL, "op9_minhash_near_dedup": OP9_SQL, "op10_source_mixing": _op10_sql()}
+SQL: dict[str, str] = {"op1_chat_formatting": _op1_sql(), "op2_decontamination": OP2_SQL, "op5_warc": OP5_SQL, "op9_minhash_near_dedup": OP9_SQL, "op10_source_mixing": _op10_sql()}
