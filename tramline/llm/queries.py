@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm import chat, decontam, html, langid, linedup, minhash, mixing, quality, warc
+from tramline.llm import chat, decontam, html, langid, linedup, minhash, mixing, pii, quality, warc
 from tramline.llm.shared import new_path
 
 
@@ -175,6 +175,12 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates for its personal data."""
+    found = pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), "entities")
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents over distinct 2-word shingles at a similarity of 0.8."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=2, percent=80)
@@ -266,6 +272,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_line_dedup": op6_line_dedup,
     "op7_main_text": op7_main_text,
+    "op8_pii_surrogates": op8_pii_surrogates,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_source_mixing": op10_source_mixing,
 }
