@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tramline.functions.scalar import ratio
 from tramline.operators.graph import components
+from tramline.plans.scratch import written
 
 MAX_ITERATIONS = 5000
 
@@ -95,12 +96,13 @@ def balance(pairs: DataFrame, beta: float, tolerance: float = 1e-6, unit_s: floa
 
 
 def balance_rounds(pairs: DataFrame, beta: float, rounds: int, unit_s: float = 60.0) -> DataFrame:
-    """A fixed number of balancing rounds as joins and sums, for pairs of any size."""
-    rows = pairs.withColumn("t", F.exp(-beta * F.col("cost_s") / unit_s))
+    """A fixed number of balancing rounds as joins and sums, for pairs of any size. Each round is written, so that plans stay short."""
+    rows = written(pairs.withColumn("t", F.exp(-beta * F.col("cost_s") / unit_s)), "balance")
     for _ in range(rounds):
         for side, total in (("origin_zone", "o"), ("dest_zone", "d")):
             sums = rows.groupBy(side).agg(F.sum("t").alias("_s"))
             rows = rows.join(sums, side).withColumn("t", F.col("t") * F.coalesce(F.try_divide(F.col(total), F.col("_s")), F.lit(0.0))).drop("_s")
+        rows = written(rows, "balance")
     return rows.select("origin_zone", "dest_zone", "cost_s", F.col("t").alias("trips"))
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tramline.plans.scratch import written
+
 
 def _w(keys: list[str], order: list):
     return Window.partitionBy(*keys).orderBy(*order)
@@ -96,9 +98,10 @@ def dense_index(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """Number all rows from 0 in the given total order.
 
     The rows are dealt into sorted ranges; each range's count, one number a
-    partition, gives the offset of the next. No task sees more than its range.
+    partition, gives the offset of the next. No task sees more than its range. The
+    ranges are written once, since a second run could draw other borders.
     """
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    ranged = written(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.withColumn(
         "_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

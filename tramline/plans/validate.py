@@ -81,7 +81,7 @@ def structural(tables: dict[str, DataFrame]) -> list[DataFrame]:
 
 def near_duplicate_stops(stops: DataFrame, metres: float = NEAR_M) -> DataFrame:
     """Two stops of one name within a few metres that aren't parts of one station."""
-    parent = F.col("parent_station") if "parent_station" in stops.columns else F.lit(None).cast("string")
+    parent = F.coalesce("parent_station", "stop_id") if "parent_station" in stops.columns else F.col("stop_id")
     rows = stops.select("stop_id", F.lower("stop_name").alias("name"), parent.alias("parent"), lenient_double("stop_lat").alias("lat"), lenient_double("stop_lon").alias("lon"))
     other = rows.select(F.col("stop_id").alias("id_b"), "name", F.col("parent").alias("parent_b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"))
     pairs = within_distance(rows.where("lat is not null and lon is not null"), other, metres, on=["name"]).where("stop_id < id_b")
