@@ -76,41 +76,39 @@ def _open(members: DataFrame) -> DataFrame:
 class Buckets:
     """Ids that share a key, and the links among them.
 
-    members: key, id and the columns of `carry`; a member may occur twice. No pair
-    inside a component found so far is looked at:
+    members: key, id; a member may occur twice. No pair inside a component found so
+    far is looked at:
 
     1. every member against its key's smallest id (`pairs`);
-    2. where a key still holds several components, members of other components
-       against the member most like the first head (in a group of edited copies
-       that is the least edited one);
+    2. where a key still holds several components, every member against the one
+       most like the first head (in a group of edited copies that is the least
+       edited one);
     3. what is left: members outside the second head's component against those of
-       other components.
+       other components, unless `narrow` rules them out.
 
     Heads leave their keys once all their pairs there are decided, so that step 3
     covers every undecided pair and no link is lost. Keys of two members, nearly
     all of them, need no join: the aggregate holds the pair.
 
     alike(x, y) is a condition on the columns of two members (names prefixed by
-    "x." and "y.") that every linked pair meets. With `carry`, members hold its
-    columns; else they come from `sketch` (id, ...).
+    "x." and "y.", from `sketch`: id, ...) that every linked pair meets. narrow(rows)
+    adds columns to the rows (key, id, ...) of step 3, and near(x, y) is a condition
+    on them that every linked pair meets.
     """
 
     def __init__(
-        self, members: DataFrame, carry: tuple[str, ...] = (), alike: Callable[[str, str], Column] | None = None,
-        sketch: DataFrame | None = None,
+        self, members: DataFrame, alike: Callable[[str, str], Column] | None = None, sketch: DataFrame | None = None, narrow: Callable[[DataFrame], DataFrame] | None = None,
+        near: Callable[[str, str], Column] | None = None,
     ):
-        self.members, self.carry, self.alike, self.sketch = members, carry, alike, sketch
-        one = F.struct("id", *carry)
-        ends = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("x"), F.max(one).alias("y"))
-        self.ends = written(ends.where("x.id <> y.id"), "buckets")
-        large = self.ends.where("n > 2").select("key", "x")
-        star = members.join(large, "key").withColumnRenamed("id", "own").where("own <> x.id")
-        star = star.select("key", "x", F.struct(F.col("own").alias("id"), *carry).alias("y")).distinct()
-        self.star = written(star, "star")
-        pairs = self.ends.where("n = 2").select("x", "y").union(self.star.select("x", "y"))
-        if carry and alike is not None:
-            pairs = pairs.where(alike("x", "y"))
-        pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+        self.members, self.alike, self.sketch = members, alike, sketch
+        self.narrow, self.near = narrow, near
+        # The ends are plain values, so that a hash aggregate makes them.
+        ends = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("x"), F.max("id").alias("y"))
+        self.ends = written(ends.where("x <> y"), "buckets")
+        star = members.join(self.ends.where("n > 2").select("key", F.col("x").alias("head")), "key").where("id <> head")
+        self.star = written(star.select("key", "head", "id").distinct(), "star")
+        pairs = self.ends.where("n = 2").select("x", "y").union(self.star.select("head", "id"))
+        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         self.pairs = written(self._screened(pairs.distinct()), "pairs")
 
     def _screened(self, pairs: DataFrame) -> DataFrame:
@@ -124,46 +122,44 @@ class Buckets:
     def candidates(self) -> DataFrame:
         """id: everything that a step may verify."""
         ids = self.pairs.select(F.explode(F.array("a", "b")).alias("id"))
-        return ids.union(self.star.select("y.id")).distinct()
+        return ids.union(self.star.select("id")).distinct()
 
     def link(self, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """node, component of all linked ids. verify: (a, b) -> (a, b, sim, linked), deciding exactly."""
         first = written(verify(self.pairs), "decided")
         links = first.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
         found = written(components(links), "components")
-        star = self.star.select("key", F.col("x.id").alias("head"), "y.*")
-        rest = written(_open(_with_component(star, found)), "open")
+        rest = written(_open(_with_component(self.star, found)), "open")
         if rest.isEmpty():
             return found
 
         sims = first.select(F.col("a").alias("head"), F.col("b").alias("id"), "sim")
         near = rest.join(sims, ["head", "id"], "left").withColumn("sim", F.coalesce("sim", F.lit(-1.0)))
-        second = near.groupBy("key").agg(F.max_by(F.struct("id", "comp", *self.carry), F.struct("sim", "id")).alias("x"))
+        second = near.groupBy("key").agg(F.max_by("id", F.struct("sim", "id")).alias("head"))
         second = written(second, "heads")
-        spokes = rest.drop("head").join(second, "key").where("id <> x.id")
-        spokes = spokes.select("key", "x", F.struct("id", "comp", *self.carry).alias("y"))
-        fresh = F.col("x.comp") != F.col("y.comp")
-        if self.carry and self.alike is not None:
-            fresh &= self.alike("x", "y")
-        pairs = spokes.where(fresh).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-        more = written(verify(self._screened(pairs.distinct())), "decided")
+        spokes = rest.select("key", "id").join(second, "key").where("id <> head")
+        pairs = spokes.select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")).distinct()
+        more = written(verify(self._screened(pairs)), "decided")
         links = links.union(more.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
         found = written(components(links), "components")
-        left = spokes.select("key", F.col("x.id").alias("head"), "y.*").drop("comp")
-        left = _with_component(left, found).join(
+        left = _with_component(spokes, found).join(
             found.select(F.col("node").alias("head"), F.col("component").alias("hc")), "head", "left"
         ).withColumn("head_comp", F.coalesce("hc", "head"))
-        left = written(_open(left.drop("head", "hc")), "open")
+        # Keys of one head go together, so that a pair that shares many keys is looked at once.
+        left = left.select(F.col("head").alias("key"), "id", "comp", "head_comp").distinct()
+        left = written(_open(left), "open")
         if left.isEmpty():
             return found
 
+        if self.narrow is not None:
+            left = written(self.narrow(left), "narrowed")
         if self.sketch is not None:
             left = left.join(self.sketch, "id")
         x, y = left.where("comp <> head_comp").alias("x"), left.alias("y")
         new = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp"))
         new &= (F.col("y.comp") == F.col("y.head_comp")) | (F.col("x.id") < F.col("y.id"))
-        if self.alike is not None:
-            new &= self.alike("x", "y")
+        for condition in (self.alike, self.near):
+            new &= condition("x", "y") if condition is not None else F.lit(True)
         pairs = x.join(y, new).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
         last = written(verify(pairs.distinct()), "decided")
         links = links.union(last.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))

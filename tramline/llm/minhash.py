@@ -129,6 +129,24 @@ def _sets(width: int):
     return run
 
 
+def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each set one bit per bucket of hashes: whether it holds an odd number. At least four bits a shingle; `half` is the sketch folded once."""
+    for batch in batches:
+        sizes, odd, half = [], [], []
+        for own in batch["items"].to_pylist():
+            x = np.array(own, np.int64).view(np.uint64)
+            words = 1 << max(1, (-(-4 * len(x) // 64) - 1).bit_length())
+            counts = np.bincount((x % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
+            bits = np.packbits(counts.astype(np.uint8)).view(np.int64)
+            sizes.append(len(x))
+            odd.append(bits)
+            half.append(bits[: words // 2] ^ bits[words // 2 :])
+        yield pa.RecordBatch.from_arrays(
+            [batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(odd, pa.list_(pa.int64())), pa.array(half, pa.list_(pa.int64()))],
+            ["id", "n", "odd", "half"],
+        )
+
+
 def _alike(x: str, y: str) -> Column:
     """Sketches as close as those of a pair at the least similarity are, but for once in 10**7."""
     parts = [F.bit_count(F.col(f"{x}.s{k}").bitwiseXOR(F.col(f"{y}.s{k}"))) for k in range(SKETCH_WORDS)]
@@ -149,7 +167,26 @@ def near_duplicates(
         "sets",
     )
     sketch = sets.select("id", *[F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH_WORDS)]).dropDuplicates(["id"])
-    buckets = Buckets(sets.select("id", F.explode("keys").alias("key")), alike=_alike, sketch=sketch)
+    def narrow(rows: DataFrame) -> DataFrame:
+        """The size and the parity sketch of every member."""
+        wanted = items.join(rows.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        odd = wanted.mapInArrow(_parities, "id long, n long, odd array<long>, half array<long>")
+        return rows.join(odd, "id")
+
+    def near(x: str, y: str) -> Column:
+        """Sets differ in at least as many shingles as their parity sketches in bits."""
+        same, more = F.size(f"{x}.odd") == F.size(f"{y}.odd"), F.size(f"{x}.odd") == F.size(f"{y}.odd") * 2
+        less = F.size(f"{x}.odd") * 2 == F.size(f"{y}.odd")
+        left = F.when(same | less, F.col(f"{x}.odd")).when(more, F.col(f"{x}.half"))
+        right = F.when(same | more, F.col(f"{y}.odd")).when(less, F.col(f"{y}.half"))
+        bits = F.zip_with(left, right, lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+        differing = F.aggregate(bits, F.lit(0), lambda p, q: p + q)
+        # Sizes further apart than a doubling can't be similar; their sketches don't compare, and null is no.
+        return F.coalesce(differing * (100 + percent) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (100 - percent), F.lit(False))
+
+    buckets = Buckets(
+        sets.select("id", F.explode("keys").alias("key")), alike=_alike, sketch=sketch, narrow=narrow, near=near
+    )
     wanted = buckets.candidates().join(sets.select("id", "set_id"), "id")
     texts = wanted.join(slim, F.col("id") == F.col("doc_id")).select("doc_id", "set_id", "text")
     items = texts.mapInArrow(_sets(width), "doc_id long, own_id binary, items array<long>").where("own_id is not null")
