@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -37,6 +38,8 @@ HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 GZIP, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 _PADDING = b"\r\n\x00 \t"
+_TOKEN = re.compile(r"[!#$%&'*+.^_`|~0-9A-Za-z-]+")
+_MANDATORY = {"warc-type", "warc-record-id", "warc-date", "content-length"}
 
 
 def digest(data: bytes) -> str:
@@ -106,10 +109,12 @@ def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     headers = {}
     for line in data[at:stop].decode("utf-8", "replace").split("\r\n")[1:]:
         name, colon, value = line.partition(":")
-        if not colon:
+        if not colon or not _TOKEN.fullmatch(name):
             raise Damaged("malformed header")
         headers[name.strip().lower()] = value.strip()
-    size = headers.get("content-length", "")
+    if not _MANDATORY <= headers.keys():
+        raise Damaged("mandatory header missing")
+    size = headers["content-length"]
     if not size.isdigit():
         raise Damaged("no content length")
     begin, end = stop + 4, stop + 4 + int(size)
