@@ -101,13 +101,13 @@ def dense_index(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     partition, gives the offset of the next. No task sees more than its range. The
     ranges are written once, since a second run could draw other borders.
     """
-    ranged = written(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    ranged = written(rows.repartitionByRange(*order).withColumn("_dense_part", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy("_dense_part").agg(F.count(F.lit(1)).alias("_dense_n"))
     offsets = counts.withColumn(
-        "_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).select("_part", "_before")
-    local = ranged.withColumn("_k", F.row_number().over(_w(["_part"], list(order))) - 1)
-    return local.join(offsets, "_part").withColumn(name, (F.col("_before") + F.col("_k")).cast("long")).drop("_part", "_k", "_before")
+        "_dense_before", F.coalesce(F.sum("_dense_n").over(Window.orderBy("_dense_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ).select("_dense_part", "_dense_before")
+    local = ranged.withColumn("_dense_k", F.row_number().over(_w(["_dense_part"], list(order))) - 1)
+    return local.join(offsets, "_dense_part").withColumn(name, (F.col("_dense_before") + F.col("_dense_k")).cast("long")).drop("_dense_part", "_dense_k", "_dense_before")
 
 
 def signature(rows: DataFrame, keys: list[str], order: str, parts: list[str], name: str = "signature") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from tramline.functions.geo import haversine_m, in_box
 from tramline.functions.scalar import clock_seconds, lenient_double, lenient_long
 from tramline.operators.joins import not_in
 from tramline.operators.windows import dense_index, fills, islands, neighbours, signature, top_rows
+from tramline.plans.scratch import written
 from tramline.plans.validate import DAYS, DEFAULT_KMH, SPEED_KMH
 
 #: Modes by route type. Fixed values.
@@ -96,13 +98,15 @@ def clean(tables: dict[str, DataFrame], day: date, excluded: str | None, box: tu
     gone = []
 
     def drop(trips: DataFrame, bad: DataFrame, reason: str) -> DataFrame:
-        kept = not_in(trips, bad, "trip_id")
-        gone.append(trips.join(bad.select("trip_id").distinct(), "trip_id", "left_semi").select("trip_id", F.lit(reason).alias("reason")))
+        # Written, so that the plans of later steps don't hold those of all before.
+        kept = written(not_in(trips, bad, "trip_id"), "trips")
+        lost = trips.join(kept, "trip_id", "left_anti").select("trip_id", F.lit(reason).alias("reason"))
+        gone.append(written(lost, "dropped"))
         steps.append(Step(reason, trips.count(), kept.count()))
         return kept
 
     routes = tables["routes"].withColumn("kind", lenient_long("route_type"))
-    trips = tables["trips"].join(active_services(tables, day), "service_id", "left_semi")
+    trips = written(tables["trips"].join(active_services(tables, day), "service_id", "left_semi"), "trips")
     steps.append(Step("service day", tables["trips"].count(), trips.count()))
     if excluded:
         named = routes.where(F.coalesce(F.col("route_short_name"), F.lit("")).rlike(excluded) | F.coalesce(F.col("route_long_name"), F.lit("")).rlike(excluded))
@@ -113,7 +117,7 @@ def clean(tables: dict[str, DataFrame], day: date, excluded: str | None, box: tu
     )
     timed = times.groupBy("trip_id").agg(F.min_by(F.coalesce("d", "a"), "q").alias("x"), F.max_by(F.coalesce("a", "d"), "q").alias("y"))
     trips = drop(trips, trips.join(timed.where("x is not null and y is not null"), "trip_id", "left_anti"), "no stop times or untimed ends")
-    times = interpolate(times.join(trips.select("trip_id"), "trip_id", "left_semi"), stops)
+    times = written(interpolate(times.join(trips.select("trip_id"), "trip_id", "left_semi"), stops), "times")
     kinds = trips.join(routes.select("route_id", "kind"), "route_id").select("trip_id", "kind")
     trips = drop(trips, too_fast(times, kinds), "implausible speed")
     same = trips.join(signature(times, ["trip_id"], "q", ["stop_id", "a", "d"]), "trip_id")
@@ -121,13 +125,11 @@ def clean(tables: dict[str, DataFrame], day: date, excluded: str | None, box: tu
     trips = drop(trips, same.withColumn("k", F.row_number().over(again)).where("k > 1"), "exact duplicate")
     trips = drop(trips, times.groupBy("trip_id").count().where("count < 2"), "single stop")
     times = times.join(trips.select("trip_id"), "trip_id", "left_semi")
-    inside = islands(times, ["trip_id"], ["q"], in_box("lat", "lon", box))
+    inside = written(islands(times, ["trip_id"], ["q"], in_box("lat", "lon", box)), "times")
     before = trips.count()
     pieces = inside.select("trip_id", "piece").distinct()
     trips = trips.join(pieces, "trip_id")
     steps.append(Step("study area", before, trips.count()))
-    from functools import reduce
-
     dropped = reduce(lambda a, b: a.unionByName(b), gone)
     return Network(trips, inside, dropped, steps)
 
