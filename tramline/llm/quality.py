@@ -209,7 +209,12 @@ def quality(
     """One row per document: the statistics, base_failed, score, threshold and kept."""
     stats = written(rule_statistics(docs, id_col, text_col), "quality")
     worded = stats.where("not base_failed")
-    sample = worded.orderBy(F.xxhash64(F.lit(SEED), "doc_id", *FEATURES), *FEATURES).select(*FEATURES).limit(sample_rows)
+    # The smallest hashes lie below a bound of four times their expected number, so that few rows reach the driver.
+    hashed = worded.select(F.xxhash64(F.lit(SEED), "doc_id", *FEATURES).alias("_h"), *FEATURES)
+    share = min(1.0, 4 * sample_rows / max(1, worded.count()))
+    if share < 1:
+        hashed = hashed.where(F.col("_h") < int(-(1 << 63) + share * (1 << 64)))
+    sample = hashed.orderBy("_h", *FEATURES).select(*FEATURES).limit(sample_rows)
     matrix = np.array([tuple(r) for r in sample.collect()], np.float64).reshape(-1, len(FEATURES))
     forest = Forest.fit(matrix)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stats.schema)
