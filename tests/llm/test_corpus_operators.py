@@ -177,6 +177,37 @@ def test_line_dedup_edges(spark):
     assert linedup.dedup_lines(docs_of(spark, [])).count() == 0
 
 
+def test_whole_line_dedup_links_by_edit_similarity_alone(spark):
+    """Groups of all pairs by edit similarity, without any other bound."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnoprst") for _ in range(rng.randint(2, 9))) for _ in range(900)]
+    base = [" ".join(rng.choice(vocabulary) for _ in range(n)) for n in (5, 7, 10, 20, 30, 50, 60) for _ in range(4)]
+
+    def edited(line):
+        words = line.split()
+        for k in rng.sample(range(len(words)), max(1, len(words) // 10)):
+            words[k] = rng.choice(vocabulary)
+        return " ".join(words)
+
+    rows = list(enumerate(x for line in base for x in (line, edited(line), edited(line))))
+    linked = [
+        (a, b) for a in range(len(rows)) for b in range(a)
+        if levenshtein(rows[a][1], rows[b][1]) <= max(len(rows[a][1]), len(rows[b][1])) * 0.2 + 1e-9
+    ]
+    first = {}
+    want = {k for k, t in enumerate(closed(len(rows), linked)) if first.setdefault(t, k) == k}
+    found = {r["doc_id"] for r in linedup.dedup_lines(docs_of(spark, rows), whole=True).where("n_removed_lines = 0").collect()}
+    assert found == want and len(linked) > 60
+
+
+def test_whole_line_dedup_of_short_and_unspaced_lines(spark):
+    passage = "人类社会的发展离不开语言文字的使用和传播以及知识的积累"
+    edited = passage.replace("积累", "增长")
+    rows = [(1, f"Home\n{passage}\n\n12"), (2, f"home!\n{edited}\n\n57"), (3, f"ติดต่อเรา\n{passage}"), (4, "ติดต่อเรา\n---\nAbout us")]
+    found = {r["doc_id"]: r["text"] for r in linedup.dedup_lines(docs_of(spark, rows), whole=True).collect()}
+    assert found == {1: f"Home\n{passage}\n\n12", 2: "\n57", 3: "ติดต่อเรา", 4: "---\nAbout us"}
+
+
 # mixing
 
 

@@ -166,7 +166,7 @@ FROM p JOIN m USING (h)
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without repeated lines."""
-    found = linedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = linedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), whole=True)
     return found.select("doc_id", "text", "n_lines", "n_removed_lines")
 
 
