@@ -239,6 +239,22 @@ def test_mixing_edges(spark):
     assert mixing.mix(docs.limit(0), dims).count() == 0
 
 
+def test_expected_shares_of_copies_equal_the_targets(spark):
+    rows = [(k, "w " * (1 + k % 7), "big" if k % 50 else "rare", "en" if k % 9 else "fr") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    targets = {"source": {"big": 0.7, "rare": 0.3}, "lang": {"en": 0.6, "fr": 0.4}}
+    found = mixing.mix(docs, {"source": F.col("source"), "lang": F.col("lang")}, targets, copies=True).collect()
+    total = sum(r["mix_tokens"] for r in found)
+    for name, shares in targets.items():
+        for value, share in shares.items():
+            own = sum(r["mix_prob"] * r["mix_tokens"] for r in found if r[name] == value)
+            assert abs(own / (mixing.KEEP * total) - share) < 1e-6
+    assert max(r["mix_prob"] for r in found) > 1
+    assert all(abs(r["mix_copies"] - r["mix_prob"]) < 1 for r in found)
+    drawn = sum(r["mix_copies"] * r["mix_tokens"] for r in found)
+    assert abs(drawn / (mixing.KEEP * total) - 1) < 0.05
+
+
 # archives
 
 

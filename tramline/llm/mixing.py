@@ -11,6 +11,12 @@ lost, so `keep` states the share of all tokens to draw, and weights above 1 beco
 a probability of 1. The scale is raised until the expected tokens meet `keep` as
 closely as whole documents allow.
 
+The clipping gives the clipped tokens of rare cells to the others, so the mix then
+misses its targets. With `copies`, as the pipeline runs it, nothing is clipped: the
+probability is the expected number of copies, `keep` times the weight, of which the
+whole part is always drawn and the fraction by the draw. The expected token shares
+are the targets, and the expected tokens `keep` of all.
+
 Draws are a keyed hash of doc_id (and the text, for rows without one), so that any
 rerun draws the same rows.
 
@@ -109,15 +115,22 @@ def probabilities(tokens: np.ndarray, fitted: np.ndarray, keep: float = KEEP) ->
     return np.minimum(1.0, np.maximum(0.0, scale * weight))
 
 
+def expected_copies(tokens: np.ndarray, fitted: np.ndarray, keep: float = KEEP) -> np.ndarray:
+    """How often a document of each cell is drawn, so that the expected shares are the fitted ones and the total `keep`."""
+    weight = np.divide(fitted, tokens, out=np.zeros_like(fitted), where=tokens > 0)
+    total = float(fitted.sum())
+    return weight * (keep * float(tokens.sum()) / total) if total else weight
+
+
 def mix(
     docs: DataFrame, dimensions: dict[str, Column], targets: dict | None = None, keep: float = KEEP, seed: str = SEED,
-    id_col: str = "doc_id", text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", copies: bool = False,
 ) -> DataFrame:
-    """All columns of docs, then mix_tokens, mix_<dimension>, mix_weight, mix_prob, mix_draw, mix_kept."""
+    """All columns of docs, then mix_tokens, mix_<dimension>, mix_weight, mix_prob, mix_draw, mix_kept; with copies, mix_copies too."""
     targets = targets or DEFAULT_TARGETS
     spark, names = docs.sparkSession, list(dimensions)
     made = {n: free_name(docs.columns, f"mix_{n}") for n in names}
-    stem = {n: free_name(docs.columns, f"mix_{n}") for n in ("tokens", "weight", "prob", "draw", "kept")}
+    stem = {n: free_name(docs.columns, f"mix_{n}") for n in ("tokens", "weight", "prob", "draw", "kept", "copies")}
     text = F.col(text_col).cast("string")
     rows = docs.select("*", n_tokens(text).alias(stem["tokens"]), *(c.cast("string").alias(made[n]) for n, c in dimensions.items()))
     cells = rows.groupBy(*made.values()).agg(F.sum(stem["tokens"]).alias("t")).orderBy(*made.values())
@@ -132,7 +145,7 @@ def mix(
         indices.append(np.array([at[r[made[n]]] for r in held], np.int64))
         shares.append(_targets(tokens, indices[-1], values, targets[n]))
     fitted = rake(tokens, indices, shares) if len(held) else tokens
-    probs = probabilities(tokens, fitted, keep) if len(held) else tokens
+    probs = (expected_copies if copies else probabilities)(tokens, fitted, keep) if len(held) else tokens
     weights = np.divide(fitted, tokens, out=np.ones_like(fitted), where=tokens > 0)
     probs = np.where(tokens > 0, probs, keep)
     keys = [f"_mix_key_{k}" for k in range(len(names))]
@@ -148,4 +161,9 @@ def mix(
     weight = F.when(blank, 1.0).otherwise(F.col("_mix_w")).alias(stem["weight"])
     prob = F.when(blank, float(keep)).otherwise(F.col("_mix_p")).alias(stem["prob"])
     out = out.select(*rows.columns, weight, prob, stem["draw"])
-    return out.withColumn(stem["kept"], F.col(stem["draw"]) < F.col(stem["prob"]))
+    out = out.withColumn(stem["kept"], F.col(stem["draw"]) < F.col(stem["prob"]))
+    if not copies:
+        return out
+    whole = F.floor(stem["prob"])
+    more = (F.col(stem["draw"]) < F.col(stem["prob"]) - whole).cast("int")
+    return out.withColumn(stem["copies"], (whole + more).cast("int"))
