@@ -206,6 +206,19 @@ def test_main_text(page, text):
     assert html.main_text(page)[0] == text
 
 
+def test_main_text_outside_small_articles_and_inside_layout_wrappers():
+    body = " ".join(["A sentence of the real text."] * 12)
+    for mark in ("", " class='card'", " class='post teaser'"):
+        page = f"<div><p>{body}</p><p>{body}</p></div><nav>m</nav><article{mark}><p>Read this next.</p></article>"
+        assert html.main_text(page)[0].startswith(f"{body}\n{body}")
+    for wrapper in ("no-sidebar", "has-sidebar", "search-results", "sidebar-layout"):
+        assert html.main_text(f"<div class='{wrapper}'><p>{body}</p></div>")[0] == body
+    gap = "<nav>a</nav>" * 4
+    assert html.main_text(f"<div><p>{body}</p></div>{gap}<p>The end of it all came soon.</p>")[0] == f"{body}\nThe end of it all came soon."
+    assert html.main_text("<p>A short page has one sentence.</p>")[0] == "A short page has one sentence."
+    assert html.main_text(f"<article><p>{body}</p></article><div><p>Other words of the page stand here, in no article.</p></div>")[0] == body
+
+
 def test_pages_match_their_articles(spark):
     from tramline.llm.queries import op7_main_text
 

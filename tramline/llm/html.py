@@ -2,12 +2,14 @@
 
 Markup is stripped into lines: every block element starts one. Lines of menus,
 headers, footers, sidebars, notices, adverts, forms, reader comments and of
-anything hidden count as blank, by element, role, class or id. Where a page has an
-`article` or `main` element, so do lines outside it. Text lengths (without link
+anything hidden count as blank, by element, role, class or id. Text lengths (without link
 texts) are summed over `WINDOW` lines from each line on. Text surges where such a
 sum reaches the threshold, and dives where it falls to nothing; everything between
-a surge and its dive is kept. Inside an article every text is enough for a surge,
-elsewhere `SURGE` characters are.
+a surge and its dive is kept. Inside an `article` or `main` element every text is
+enough for a surge, elsewhere `SURGE` characters or a whole sentence are. Text
+outside such elements is kept where it surges and is more than they hold in all, so
+that a teaser doesn't blank the body. Class words that name a layout (`_LAYOUT`)
+don't blank what holds most of a page's text.
 
 Scripts, styles, templates and comments of the markup are never text. Character
 references are decoded; white space inside a block becomes one space.
@@ -60,15 +62,23 @@ _WORDS = {
     "popup", "promo", "promotion", "recommended", "related", "replies", "reply", "search", "share", "sharing", "sidebar", "signup",
     "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "widget",
 }
+#: Those of them that often name a wrapper of the whole page.
+_LAYOUT = {"sidebar", "search", "header", "footer", "banner", "menu", "nav", "navbar", "navigation", "widget", "form", "share", "social", "toolbar", "skip"}
+_STATES = re.compile(r"(?i)^(?:no|has|with|without|not|hide)[-_]|(?:^|[-_])search[-_]results$")
 _KEPT_OPEN = {"article", "main"}
+#: A line of so many characters that ends like this is a sentence.
+SENTENCE = 20
+_SENTENCE_END = re.compile(r"[.!?…。！？][\"'”’»)]*$")
+#: So many times the strict text, a text without layout marks takes its place.
+FAR_MORE = 4
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): references.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)} if raw.strip(" /\t\r\n") else {}
 
 
-def _is_boilerplate(tag: str, raw: str, inside: bool) -> bool:
-    """inside: within an article, whose own header holds its title."""
+def _is_boilerplate(tag: str, raw: str, inside: bool, ignored: frozenset[str] = frozenset()) -> bool:
+    """inside: within an article, whose own header holds its title. ignored: class words that mark nothing."""
     if tag in _BOILERPLATE and not (tag == "header" and inside):
         return True
     own = _attributes(raw)
@@ -77,10 +87,11 @@ def _is_boilerplate(tag: str, raw: str, inside: bool) -> bool:
     style = own.get("style", "").replace(" ", "").lower()
     if "hidden" in own or "display:none" in style or "visibility:hidden" in style or own.get("role", "").lower() in _ROLES:
         return True
-    named = f"{own.get('class', '')} {own.get('id', '')}"
+    named = " ".join(x for x in f"{own.get('class', '')} {own.get('id', '')}".split() if not _STATES.search(x))
     words = {w.lower() for w in _PART.findall(named)}
     if tag == "main" or (tag == "article" and not words & {"comment", "comments", "reply", "replies", "ad", "ads", "related", "promo"}):
         return False
+    words -= ignored
     return bool(words & _WORDS) or (not inside and "header" in words)
 
 
@@ -105,7 +116,7 @@ class _Lines:
         self.counted = 0
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
+def lines_of(page: str, ignored: frozenset[str] = frozenset()) -> list[tuple[str, int, bool, bool]]:
     out, at = _Lines(), 0
     stack: list[tuple[str, bool]] = []  # open elements: name, boilerplate
     blank = inside = links = 0
@@ -150,7 +161,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
             continue
         if tag in _BLOCK and stack and stack[-1][0] in ("p", "li"):
             close(len(stack) - 1)  # their end tag is implied
-        bad = _is_boilerplate(tag, raw, inside > 0)
+        bad = _is_boilerplate(tag, raw, inside > 0, ignored)
         if tag in _KEPT_OPEN and not bad and blank:
             close(next(k for k, x in enumerate(stack) if x[1]))  # an unclosed menu doesn't swallow the article
         if bad or (tag in _BLOCK and tag not in _LOOSE):
@@ -161,12 +172,12 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
     return out.done
 
 
-def spans_of(lengths: list[int], threshold: int, window: int = WINDOW) -> list[tuple[int, int]]:
-    """Line spans [surge, dive)."""
+def spans_of(lengths: list[int], threshold: int, window: int = WINDOW, surges: list[bool] | None = None) -> list[tuple[int, int]]:
+    """Line spans [surge, dive). surges: lines that are enough for a surge, whatever their length."""
     sums = [sum(lengths[k : k + window]) for k in range(len(lengths))]
     spans, surge = [], None
     for k, total in enumerate(sums):
-        if surge is None and total >= threshold and lengths[k]:
+        if surge is None and (total >= threshold or surges and surges[k]) and lengths[k]:
             surge = k
         elif surge is not None and not total:
             spans.append((surge, k))
@@ -174,14 +185,33 @@ def spans_of(lengths: list[int], threshold: int, window: int = WINDOW) -> list[t
     return [*spans, (surge, len(lengths))] if surge is not None else spans
 
 
+def _sentence(line: tuple[str, int, bool, bool]) -> bool:
+    return line[1] >= SENTENCE and 2 * line[1] >= len(line[0]) - line[0].count(" ") and bool(_SENTENCE_END.search(line[0])) and "©" not in line[0]
+
+
+def _select(lines: list[tuple[str, int, bool, bool]]) -> tuple[str, list[tuple[int, int]]]:
+    outside = spans_of([0 if x[3] else x[1] for x in lines], SURGE, surges=[_sentence(x) for x in lines])
+    held = sum(x[1] for x in lines if x[3])
+    more = sum(x[1] for a, b in outside for x in lines[a:b] if not x[3])
+    if not any(x[3] and x[0] for x in lines):
+        spans = outside
+    else:
+        # Marks weight the lengths: any text of an article surges, other text only where it outweighs the articles.
+        kept = [more > held and any(a <= k < b for a, b in outside) for k in range(len(lines))]
+        spans = spans_of([max(1, len(x[0])) if x[0] and (x[3] or own) else 0 for x, own in zip(lines, kept, strict=True)], 1)
+        lines = [x if x[3] or own else ("", *x[1:]) for x, own in zip(lines, kept, strict=True)]
+    return "\n".join(x[0] for a, b in spans for x in lines[a:b] if x[0]), spans
+
+
 def main_text(page: str | None) -> tuple[str, list[tuple[int, int]]]:
     """The main text and the line spans it comes from."""
     lines = lines_of(page or "")
-    inside = any(x[3] and x[0] for x in lines)
-    texts = ["" if inside and not x[3] else x[0] for x in lines]
-    counted = [0 if not t else max(1, len(t)) if inside else x[1] for t, x in zip(texts, lines, strict=True)]
-    spans = spans_of(counted, 1 if inside else SURGE)
-    return "\n".join(t for a, b in spans for t in texts[a:b] if t), spans
+    strict = _select(lines)
+    if page and not any(x[3] and x[0] for x in lines):
+        loose = _select(lines_of(page, frozenset(_LAYOUT)))
+        if len(loose[0]) > max(SURGE, FAR_MORE * len(strict[0])):
+            return loose
+    return strict
 
 
 _SPAN = pa.struct([("surge", pa.int64()), ("dive", pa.int64())])
