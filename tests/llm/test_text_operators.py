@@ -278,6 +278,26 @@ def test_collisions_are_redrawn(spark):
     assert pii.pseudonymise(docs.limit(0)).count() == 0
 
 
+def test_names_change_and_dont_become_other_names(spark):
+    for name in pii._PLACE:
+        assert pii.surrogate("name", name) != name
+    for group in pii.GROUPS:
+        assert {pii.surrogate("name", n) for n in group} == set(group)
+    assert all(pii.surrogate("name", c) != c for c in "ABCDXYZ")
+    other = pii.surrogate("name", "Harrison")
+    docs = spark.createDataFrame([(1, f"Mr Harrison met Mrs {other} there.")], "doc_id long, text string")
+    new = pii.pseudonymise(docs).first()["text"]
+    assert "Harrison" not in new and other not in new
+
+
+@pytest.mark.parametrize("phone", ["01 23 45 67 89", "+33 6 12 34 56 78", "91 123 45 67", "07700 900123", "912 345 678", "06.12.34.56.78", "+44 7700 900123"])
+def test_phones_of_other_shapes(phone):
+    new, found = pii.replace(f"Call {phone} today.")
+    assert found == [(5, 5 + len(phone), "phone")] and phone not in new and len(new) == len(phone) + 12
+    for clean in ("On 09.12.2023 10 of 12 came.", "Rows 10 20 30 40 50 60"):
+        assert pii.find(clean) == []
+
+
 def test_no_original_is_left(spark):
     from tramline.llm.queries import op8_pii_surrogates
 

@@ -79,7 +79,12 @@ PATTERNS = [
     ("ipv4", re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)")),
     ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")),
     ("number", re.compile(r"(?<![\w+-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})(?![\w-])")),
-    ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?![\w-])|(?<![\w+])\+\d{8,15}(?!\w)")),
+    ("phone", re.compile(
+        # International, national with a leading 0, and Spanish: groups of two digits and more, judged by their total.
+        r"(?<![\w+])\+(?=(?:[ .()-]{0,2}\d){8,15}(?![\w-]))\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{1,6}){1,6}(?![\w-])"
+        r"|(?<![\w+.-])0(?=\d{1,4}([ .-]))(?=(?:\1?\d){8,10}(?![\w-]|\1\d))\d{1,4}\1\d{2,6}(?:\1\d{2,6})*(?![\w-])"
+        r"|(?<![\w+.-])(?<!\d[ ])[6-9]\d(?:\d([ .-])\d{3}\2\d{3}|([ .-])\d{3}\3\d{2}\3\d{2}|\d([ .-])\d{2}\4\d{2}\4\d{2})(?![\w-]|[ .-]\d)|"
+        r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?![\w-])|(?<![\w+])\+\d{8,15}(?!\w)")),
     ("name", re.compile(rf"\b(?:(?P<title>{_TITLE})\.?\s+(?P<named>{_WORD}(?: {_WORD}){{0,2}})|(?P<first>{_FIRST})(?P<rest>(?: {_WORD}){{1,2}}))\b")),
 ]
 
@@ -122,6 +127,13 @@ def _permuted(value: int, size: int, tweak: str, key: str) -> int:
             return value
 
 
+@lru_cache(4096)
+def _ring(size: int, tweak: str, key: str) -> dict[int, int]:
+    """A keyed permutation of 0..size-1 that is one cycle, so that nothing stays itself."""
+    order = [_permuted(k, size, tweak, key) for k in range(size)]
+    return {k: order[at - 1] for at, k in enumerate(order)}
+
+
 def permute_text(text: str, tweak: str, key: str, spoken: bool = False) -> str:
     """A keyed permutation of all texts with the classes of `text`, position by position."""
     alphabets = _alphabets(spoken)
@@ -194,7 +206,9 @@ def _iban(compact: str, tweak: str, key: str) -> str:
 def _name_word(word: str, tweak: str, key: str) -> str:
     if word in _PLACE:
         g, k = _PLACE[word]
-        return GROUPS[g][_permuted(k, len(GROUPS[g]), f"{tweak}|first|{g}", key)]
+        return GROUPS[g][_ring(len(GROUPS[g]), f"{tweak}|first|{g}", key)[k]]
+    if len(word) == 1 and (place := _alphabets(True).get(word)):
+        return place[0][_ring(len(place[0]), f"{tweak}|initial|{place[0]}", key)[place[1]]]
     out = permute_text(word, f"{tweak}|name", key, spoken=True)
     while out.lower() in _FOLDED:
         out = permute_text(out, f"{tweak}|name", key, spoken=True)
@@ -339,11 +353,11 @@ def _redraw(tweak: int, key: str):
 def collisions(entities: DataFrame, key: str = KEY) -> DataFrame | None:
     """kind, own, tweak of the entities whose first surrogate can't stand; None if there are none.
 
-    entities: kind, own, new. Words of names collide only with names outside the
-    lists: a listed first name stands for many people and may be another's.
+    entities: kind, own, new. Listed first names and initials stand for many people
+    and may be another's, but never stay themselves. All other names are checked.
     """
     table = entities.select("kind", "own", "new").distinct()
-    free = F.col("kind") != "name"
+    free = (F.col("kind") != "name") | ((F.length("own") > 1) & ~F.col("own").isin(*_PLACE))
     originals = table.where(free).select(F.col("kind").alias("k2"), F.col("own").alias("o2"))
 
     def clashing(now: DataFrame, settled: DataFrame | None) -> DataFrame:
