@@ -9,16 +9,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where a session has none (tests), a temporary folder is made and set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """spark.checkpoint.dir. Where a local session (tests) has none, a temporary folder is made and set; a cluster must name one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    base = base or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tramline-scratch-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """The rows of df, from a table that survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/tramline/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A path in the shared folder that no other call gets."""
+    return f"{shared_dir(spark)}/tramline/{tag}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
+    """The rows of df, from a Parquet table in the shared folder that survives lost executors."""
+    path = new_path(df.sparkSession, tag)
+    df.write.parquet(path, compression=codec)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._tramline_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table behind a frame that `written` returned, once nothing reads it."""
+    path = getattr(df, "_tramline_path", None)
+    if path:
+        spark = df.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
