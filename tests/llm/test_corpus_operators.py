@@ -90,6 +90,22 @@ def test_near_duplicates_against_brute_force(spark, width):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in found)
 
 
+@pytest.mark.parametrize("percent", [30, 50, 95])
+def test_near_duplicates_at_other_similarities(spark, percent):
+    rng = random.Random(percent)
+    texts = [t for n, size, rate in ((40, 90, 0.5), (30, 60, 0.03), (15, 40, 0.9)) for t in copies(rng, n, size, rate)]
+    rows = list(enumerate(texts))
+    found = minhash.near_duplicates(docs_of(spark, rows), width=2, percent=percent).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute_components(rows, 2, percent)
+
+
+def test_rows_of_one_doc_id_are_one_component(spark):
+    one, two = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
+    rows = [(5, one), (5, two), (9, two + " z"), (7, "c d e"), (8, one), (9, ""), (4, None)]
+    found = {(r["doc_id"], r["n_shingles"] > 0): r["component_id"] for r in minhash.near_duplicates(docs_of(spark, rows)).collect()}
+    assert found == {(5, True): 5, (9, True): 5, (7, True): 7, (8, True): 5, (9, False): 9, (4, False): 4}
+
+
 def test_near_duplicates_edges(spark):
     rows = [(None, "a b c"), (None, "a b c"), (3, "a b c"), (3, "a b c"), (1, "a b c"), (7, "x " * 60000), (8, "x")]
     found = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs_of(spark, rows)).collect()), key=str)
@@ -208,6 +224,27 @@ def test_whole_line_dedup_of_short_and_unspaced_lines(spark):
     assert found == {1: f"Home\n{passage}\n\n12", 2: "\n57", 3: "ติดต่อเรา", 4: "---\nAbout us"}
 
 
+def test_line_dedup_leaves_columns_of_any_name_alone(spark):
+    names = ["_line_own", "_line_d", "_line_h", "_line_gone", "_line_lines", "n_lines", "n_removed_lines", "id", "norm", "key", "a", "b", "d", "h", "no"]
+    docs = spark.createDataFrame([(k, "one two three four five six\nend", *(f"{n}{k}" for n in names)) for k in range(2)], ["doc_id", "text", *names])
+    for whole in (True, False):
+        found = linedup.dedup_lines(docs, whole=whole)
+        assert found.columns == ["doc_id", "text", *names, "n_lines_1", "n_removed_lines_1"]
+        rows = {r["doc_id"]: r for r in found.collect()}
+        assert all(rows[k][n] == f"{n}{k}" for k in range(2) for n in names)
+        assert rows[1]["text"] == ("" if whole else "end") and rows[0]["n_lines_1"] == 2
+
+
+def test_whole_line_dedup_of_long_and_monotonous_lines(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklmnoprst") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    long = [rng.choice(words) for _ in range(4000)]
+    edited = [w if rng.random() > 0.08 else rng.choice(words) for w in long]
+    rows = [(1, " ".join(long)), (2, " ".join(edited)), (3, "na " * 300), (4, "na " * 310), (5, " ".join(long[:1500] + rng.choices(words, k=2500)))]
+    found = {r["doc_id"]: r["n_removed_lines"] for r in linedup.dedup_lines(docs_of(spark, rows), whole=True).collect()}
+    assert found == {1: 0, 2: 1, 3: 0, 4: 1, 5: 0}
+
+
 # mixing
 
 
@@ -239,6 +276,15 @@ def test_mixing_edges(spark):
     assert mixing.mix(docs.limit(0), dims).count() == 0
 
 
+def test_mixing_leaves_columns_of_any_name_alone(spark):
+    names = ["_mix_w", "_mix_p", "_mix_key_0", "mix_kept", "t"]
+    docs = spark.createDataFrame([(k, "a b c", f"s{k % 2}", *(f"{n}{k}" for n in names)) for k in range(4)], ["doc_id", "text", "source", *names])
+    for copies in (False, True):
+        found = mixing.mix(docs, {"source": F.col("source")}, {"source": 1.0}, copies=copies)
+        assert found.columns[:8] == docs.columns and "mix_kept_1" in found.columns
+        assert all(r[n] == f"{n}{r['doc_id']}" for r in found.collect() for n in names)
+
+
 def test_expected_shares_of_copies_equal_the_targets(spark):
     rows = [(k, "w " * (1 + k % 7), "big" if k % 50 else "rare", "en" if k % 9 else "fr") for k in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")

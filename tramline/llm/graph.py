@@ -2,7 +2,8 @@
 
 Ids may be of any ordered type. Nothing here gathers a bucket, a neighbourhood or
 a component in one row, task or the driver: all steps are joins with one row a
-key on one side, and aggregates that are combined before the shuffle.
+key on one side or with members in blocks of bounded size on both, and aggregates
+that are combined before the shuffle.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 
 from tramline.llm.shared import discard, written
 
-MAX_ROUNDS = 60
+#: Members of a key that one task compares with as many others.
+BLOCK = 1024
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -44,9 +46,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = written(edges.select("u", "v").where("u <> v").distinct(), "edges")
     before = _signature(now)
-    for _ in range(MAX_ROUNDS):
-        if not before[0]:
-            break
+    while before[0]:
         following = written(small_star(large_star(now)), "edges")
         after = _signature(following)
         discard(now)
@@ -54,8 +54,6 @@ def components(edges: DataFrame) -> DataFrame:
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     centres = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(centres)
 
@@ -93,30 +91,40 @@ class Buckets:
     alike(x, y) is a condition on the columns of two members (names prefixed by
     "x." and "y.", from `sketch`: id, ...) that every linked pair meets. narrow(rows)
     adds columns to the rows (key, id, ...) of step 3, and near(x, y) is a condition
-    on them that every linked pair meets.
+    on them that every linked pair meets. `carried` names columns of sketch that the
+    conditions don't read; `self.sketch` holds them for the members of shared keys.
     """
 
     def __init__(
         self, members: DataFrame, alike: Callable[[str, str], Column] | None = None, sketch: DataFrame | None = None, narrow: Callable[[DataFrame], DataFrame] | None = None,
-        near: Callable[[str, str], Column] | None = None,
+        near: Callable[[str, str], Column] | None = None, carried: tuple[str, ...] = (),
     ):
-        self.members, self.alike, self.sketch = members, alike, sketch
-        self.narrow, self.near = narrow, near
+        self.alike, self.narrow, self.near, self.carried = alike, narrow, near, carried
         # The ends are plain values, so that a hash aggregate makes them.
         ends = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("x"), F.max("id").alias("y"))
-        self.ends = written(ends.where("x <> y"), "buckets")
-        star = members.join(self.ends.where("n > 2").select("key", F.col("x").alias("head")), "key").where("id <> head")
+        ends = written(ends.where("x <> y"), "buckets")
+        star = members.join(ends.where("n > 2").select("key", F.col("x").alias("head")), "key").where("id <> head")
         self.star = written(star.select("key", "head", "id").distinct(), "star")
-        pairs = self.ends.where("n = 2").select("x", "y").union(self.star.select("head", "id"))
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        self.pairs = written(self._screened(pairs.distinct()), "pairs")
+        pairs = ends.where("n = 2").select("x", "y").union(self.star.select("head", "id"))
+        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        self.sketch = sketch
+        if sketch is None or alike is None:
+            self.pairs = written(pairs, "pairs")
+        else:
+            # From here on only the members of shared keys count.
+            pairs = written(pairs, "pairs")
+            self.sketch = written(sketch.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"), "sketch", "zstd")
+            self.pairs = written(self._screened(pairs), "pairs")
+            discard(pairs)
+        discard(ends)
 
     def _screened(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sketches are alike."""
         if self.sketch is None or self.alike is None:
             return pairs
-        x = self.sketch.select(F.col("id").alias("a"), F.struct(*self.sketch.columns).alias("x"))
-        y = self.sketch.select(F.col("id").alias("b"), F.struct(*self.sketch.columns).alias("y"))
+        own = [c for c in self.sketch.columns if c not in self.carried]
+        x = self.sketch.select(F.col("id").alias("a"), F.struct(*own).alias("x"))
+        y = self.sketch.select(F.col("id").alias("b"), F.struct(*own).alias("y"))
         return pairs.join(x, "a").join(y, "b").where(self.alike("x", "y")).select("a", "b")
 
     def candidates(self) -> DataFrame:
@@ -124,10 +132,12 @@ class Buckets:
         ids = self.pairs.select(F.explode(F.array("a", "b")).alias("id"))
         return ids.union(self.star.select("id")).distinct()
 
-    def link(self, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-        """node, component of all linked ids. verify: (a, b) -> (a, b, sim, linked), deciding exactly."""
+    def link(self, verify: Callable[[DataFrame], DataFrame], known: DataFrame | None = None) -> DataFrame:
+        """node, component of all linked ids. verify: (a, b) -> (a, b, sim, linked), deciding exactly. known: links (u, v) that hold anyway."""
         first = written(verify(self.pairs), "decided")
         links = first.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        if known is not None:
+            links = links.union(known.select("u", "v"))
         found = written(components(links), "components")
         rest = written(_open(_with_component(self.star, found)), "open")
         if rest.isEmpty():
@@ -154,9 +164,15 @@ class Buckets:
         if self.narrow is not None:
             left = written(self.narrow(left), "narrowed")
         if self.sketch is not None:
-            left = left.join(self.sketch, "id")
-        x, y = left.where("comp <> head_comp").alias("x"), left.alias("y")
-        new = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp"))
+            left = left.join(self.sketch.drop(*self.carried), "id")
+        # Members of a head meet in blocks, so that no task gets the whole of a large one.
+        n = left.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n_blocks"))
+        left = left.join(n, "key").withColumn("own", F.pmod(F.hash("id"), F.col("n_blocks")))
+        every = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
+        x = left.where("comp <> head_comp").select("*", F.col("own").alias("bx"), every.alias("by")).alias("x")
+        y = left.select("*", F.col("own").alias("by"), every.alias("bx")).alias("y")
+        new = (F.col("x.key") == F.col("y.key")) & (F.col("x.bx") == F.col("y.bx")) & (F.col("x.by") == F.col("y.by"))
+        new &= F.col("x.comp") != F.col("y.comp")
         new &= (F.col("y.comp") == F.col("y.head_comp")) | (F.col("x.id") < F.col("y.id"))
         for condition in (self.alike, self.near):
             new &= condition("x", "y") if condition is not None else F.lit(True)

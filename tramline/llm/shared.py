@@ -2,57 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+
+from tramline.plans.scratch import discard, new_path, shared_dir, written  # noqa: F401  the operators take them from here
 
 #: ASCII-only lower-casing of UTF-8 bytes; every other byte stays.
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where the session has none (tests, local mode) a temporary folder is made
-    once and set as the checkpoint folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="tramline-checkpoint-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    """A path in the shared folder that no other call gets."""
-    return f"{shared_dir(spark)}/tramline/{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write `df` as Parquet into the shared folder and read it again.
-
-    Cuts the lineage in a way that survives the loss of executors.
-    """
-    path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._tramline_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the table behind a frame that `written` returned, once nothing reads it."""
-    path = getattr(df, "_tramline_path", None)
-    if path:
-        spark = df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def free_name(taken: list[str], stem: str) -> str:
     """A column name that starts with `stem` and clashes with none of `taken`, whatever the case."""
     used, name, k = {c.lower() for c in taken}, stem, 0
