@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from tramline.llm.shared import free_name
 
 MAX_CELLS = 500_000
+BROADCAST_BYTES = 32 << 20
 ROUNDS = 30
 #: Share error at which raking stops early; 0 runs all rounds.
 TOLERANCE = 0.0
@@ -148,18 +149,20 @@ def mix(
     probs = (expected_copies if copies else probabilities)(tokens, fitted, keep) if len(held) else tokens
     weights = np.divide(fitted, tokens, out=np.ones_like(fitted), where=tokens > 0)
     probs = np.where(tokens > 0, probs, keep)
-    keys = [f"_mix_key_{k}" for k in range(len(names))]
-    schema = ", ".join(f"{k} string" for k in keys) + ", _mix_w double, _mix_p double"
+    keys = [free_name(rows.columns, f"_mix_key_{k}") for k in range(len(names))]
+    w_col, p_col = free_name(rows.columns, "_mix_w"), free_name(rows.columns, "_mix_p")
+    schema = ", ".join(f"`{k}` string" for k in keys) + f", `{w_col}` double, `{p_col}` double"
     table = spark.createDataFrame(
         [(*(r[made[n]] for n in names), float(w), float(p)) for r, w, p in zip(held, weights, probs, strict=True)], schema
     )
     same = [F.col(made[n]).eqNullSafe(F.col(k)) for n, k in zip(names, keys, strict=True)]
-    # At most MAX_CELLS rows of a few short strings.
-    out = rows.join(F.broadcast(table), same, "left")
+    # Sent to all only where the cells' values are short enough; else a join by the cell's values.
+    size = sum(16 + sum(len(r[made[n]] or "") for n in names) for r in held)
+    out = rows.join(F.broadcast(table) if size <= BROADCAST_BYTES else table, same, "left")
     out = out.withColumn(stem["draw"], draw(F.col(id_col), text, seed))
     blank = F.col(stem["tokens"]) == 0
-    weight = F.when(blank, 1.0).otherwise(F.col("_mix_w")).alias(stem["weight"])
-    prob = F.when(blank, float(keep)).otherwise(F.col("_mix_p")).alias(stem["prob"])
+    weight = F.when(blank, 1.0).otherwise(F.col(w_col)).alias(stem["weight"])
+    prob = F.when(blank, float(keep)).otherwise(F.col(p_col)).alias(stem["prob"])
     out = out.select(*rows.columns, weight, prob, stem["draw"])
     out = out.withColumn(stem["kept"], F.col(stem["draw"]) < F.col(stem["prob"]))
     if not copies:
