@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir. Where a local session (tests) has none, a temporary folder is made and set; a cluster must name one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -28,9 +31,15 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 def written(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     """The rows of df, from a Parquet table in the shared folder that survives lost executors."""
-    path = new_path(df.sparkSession, tag)
-    df.write.parquet(path, compression=codec)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, new_path(df.sparkSession, tag)
+    # The plan runs this once, so its shuffle files can go with it instead of waiting for the driver's garbage collection.
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.select("*").write.parquet(path, compression=codec)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out._tramline_path = path
     return out
 
