@@ -55,7 +55,17 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = after
     centres = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(centres)
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(centres)
+    out._tramline_path = now._tramline_path
+    return out
+
+
+def _groups(links: DataFrame) -> DataFrame:
+    """The components, from a table of their own; the edges' last table goes."""
+    found = components(links)
+    out = written(found, "components")
+    discard(found)
+    return out
 
 
 def _with_component(members: DataFrame, found: DataFrame) -> DataFrame:
@@ -128,17 +138,18 @@ class Buckets:
         return pairs.join(x, "a").join(y, "b").where(self.alike("x", "y")).select("a", "b")
 
     def candidates(self) -> DataFrame:
-        """id: everything that a step may verify."""
+        """id: everything that a step may verify. To be read before `link`."""
         ids = self.pairs.select(F.explode(F.array("a", "b")).alias("id"))
         return ids.union(self.star.select("id")).distinct()
 
     def link(self, verify: Callable[[DataFrame], DataFrame], known: DataFrame | None = None) -> DataFrame:
         """node, component of all linked ids. verify: (a, b) -> (a, b, sim, linked), deciding exactly. known: links (u, v) that hold anyway."""
         first = written(verify(self.pairs), "decided")
+        discard(self.pairs)
         links = first.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
         if known is not None:
             links = links.union(known.select("u", "v"))
-        found = written(components(links), "components")
+        found = _groups(links)
         rest = written(_open(_with_component(self.star, found)), "open")
         if rest.isEmpty():
             return found
@@ -151,7 +162,8 @@ class Buckets:
         pairs = spokes.select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")).distinct()
         more = written(verify(self._screened(pairs)), "decided")
         links = links.union(more.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
-        found = written(components(links), "components")
+        discard(found)
+        found = _groups(links)
         left = _with_component(spokes, found).join(
             found.select(F.col("node").alias("head"), F.col("component").alias("hc")), "head", "left"
         ).withColumn("head_comp", F.coalesce("hc", "head"))
@@ -179,4 +191,7 @@ class Buckets:
         pairs = x.join(y, new).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
         last = written(verify(pairs.distinct()), "decided")
         links = links.union(last.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
-        return written(components(links), "components")
+        found = _groups(links)
+        for table in (first, more, last, rest, second, left):
+            discard(table)
+        return found

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tramline.llm.graph import Buckets
-from tramline.llm.shared import ASCII_LOWER, text_bytes, written
+from tramline.llm.shared import ASCII_LOWER, discard, text_bytes, written
 
 WIDTH = 5
 PERCENT = 80
@@ -257,6 +257,8 @@ def near_duplicates(
     found = buckets.link(verify, known)
     named = sets.select("set_id", "id", "doc").join(found, F.col("id") == F.col("node"), "left")
     named = written(named.select("set_id", "doc", F.coalesce("component", "id").alias("component")), "named")
+    for used in (found, items, known, sets, buckets.star):
+        discard(used)
     least = named.groupBy("component").agg(F.min("doc").alias("c"))
     names = named.join(least, "component").select("set_id", "c")
     out = table.select("doc_id", "n_shingles", "set_id").join(names, "set_id", "left")
