@@ -206,6 +206,21 @@ def test_main_text(page, text):
     assert html.main_text(page)[0] == text
 
 
+def test_surge_and_dive_decide_inside_articles_too():
+    body = "Here is a paragraph of an article that says a few things about the weather."
+    links = "".join(f"<li><a href='/{k}'>Another story number {k}</a></li>" for k in range(5))
+    page = f"<article><h1>Title</h1><p>{body}</p><p>{body}</p><ul>{links}</ul></article>"
+    assert html.main_text(page)[0] == f"Title\n{body}\n{body}"
+    every = [x[0] for x in html.lines_of(page) if x[0]]
+    assert len(every) == 8 and html.main_text(page)[1] == [(0, 3)]
+    # An advert in the middle doesn't end the article; short pages and short articles stay whole.
+    ad = "<div class='advert'>Buy<p>now</p><p>and</p><p>cheap</p></div>"
+    assert html.main_text(f"<article><p>{body}</p>{ad}<p>End.</p></article>")[0] == f"{body}\nEnd."
+    assert html.main_text("<h1>Head</h1><p>A short paragraph of forty-two letters ok</p>")[0] == "Head\nA short paragraph of forty-two letters ok"
+    assert html.main_text("<article><p>No.</p></article>")[0] == "No."
+    assert html.main_text("<div><a href='/'>Home</a></div><div><a href='/b'>News</a></div>")[0] == ""
+
+
 def test_main_text_outside_small_articles_and_inside_layout_wrappers():
     body = " ".join(["A sentence of the real text."] * 12)
     for mark in ("", " class='card'", " class='post teaser'"):

@@ -3,13 +3,13 @@
 Markup is stripped into lines: every block element starts one. Lines of menus,
 headers, footers, sidebars, notices, adverts, forms, reader comments and of
 anything hidden count as blank, by element, role, class or id. Text lengths (without link
-texts) are summed over `WINDOW` lines from each line on. Text surges where such a
-sum reaches the threshold, and dives where it falls to nothing; everything between
-a surge and its dive is kept. Inside an `article` or `main` element every text is
-enough for a surge, elsewhere `SURGE` characters or a whole sentence are. Text
-outside such elements is kept where it surges and is more than they hold in all, so
-that a teaser doesn't blank the body. Class words that name a layout (`_LAYOUT`)
-don't blank what holds most of a page's text.
+texts) are summed over `WINDOW` lines from each line on, where a line inside an `article`
+or `main` element weighs `ARTICLE` times. Text surges where such a sum reaches `SURGE`
+(on pages of little text half of the page's largest sum, without such an element `SENTENCE` at least) or a whole sentence stands,
+and dives where it falls to nothing; everything between a surge and its dive is kept.
+So stray short lines and runs of lines that are only links go, inside an article too. Text outside such elements counts only where it surges by itself and is
+more than they hold in all, so that a teaser doesn't blank the body. Class words that
+name a layout (`_LAYOUT`) don't blank what holds most of a page's text.
 
 Scripts, styles, templates and comments of the markup are never text. Character
 references are decoded; white space inside a block becomes one space.
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 WINDOW = 3
 SURGE = 80
+ARTICLE = 4
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -110,8 +111,10 @@ class _Lines:
 
     def end(self, blank: bool, inside: bool) -> None:
         text = " ".join("".join(self.parts).split())
-        if text or blank:
-            self.done.append(("" if blank else text, 0 if blank else self.counted, blank, inside))
+        # What is cut out of an article doesn't end it.
+        if text or (blank and not inside):
+            if not (blank and inside):
+                self.done.append(("" if blank else text, 0 if blank else self.counted, blank, inside))
         self.parts.clear()
         self.counted = 0
 
@@ -178,7 +181,10 @@ def spans_of(lengths: list[int], threshold: int, window: int = WINDOW, surges: l
     spans, surge = [], None
     for k, total in enumerate(sums):
         if surge is None and (total >= threshold or surges and surges[k]) and lengths[k]:
+            # The block that surges starts with the first of its adjoining lines.
             surge = k
+            while surge and lengths[surge - 1] and (not spans or surge > spans[-1][1]):
+                surge -= 1
         elif surge is not None and not total:
             spans.append((surge, k))
             surge = None
@@ -189,18 +195,22 @@ def _sentence(line: tuple[str, int, bool, bool]) -> bool:
     return line[1] >= SENTENCE and 2 * line[1] >= len(line[0]) - line[0].count(" ") and bool(_SENTENCE_END.search(line[0])) and "©" not in line[0]
 
 
+def _threshold(lengths: list[int], least: int = SENTENCE) -> int:
+    top = max((sum(lengths[k : k + WINDOW]) for k in range(len(lengths))), default=0)
+    return max(least, min(SURGE, top // 2))
+
+
 def _select(lines: list[tuple[str, int, bool, bool]]) -> tuple[str, list[tuple[int, int]]]:
-    outside = spans_of([0 if x[3] else x[1] for x in lines], SURGE, surges=[_sentence(x) for x in lines])
+    own = [0 if x[3] else x[1] for x in lines]
+    outside = spans_of(own, _threshold(own), surges=[_sentence(x) for x in lines])
     held = sum(x[1] for x in lines if x[3])
-    more = sum(x[1] for a, b in outside for x in lines[a:b] if not x[3])
-    if not any(x[3] and x[0] for x in lines):
-        spans = outside
-    else:
-        # Marks weight the lengths: any text of an article surges, other text only where it outweighs the articles.
-        kept = [more > held and any(a <= k < b for a, b in outside) for k in range(len(lines))]
-        spans = spans_of([max(1, len(x[0])) if x[0] and (x[3] or own) else 0 for x, own in zip(lines, kept, strict=True)], 1)
-        lines = [x if x[3] or own else ("", *x[1:]) for x, own in zip(lines, kept, strict=True)]
-    return "\n".join(x[0] for a, b in spans for x in lines[a:b] if x[0]), spans
+    if held >= sum(lines[k][1] for a, b in outside for k in range(a, b) if not lines[k][3]):
+        outside = []
+    # Marks only weight the lengths; the distribution decides.
+    counts = [x[3] or any(a <= k < b for a, b in outside) for k, x in enumerate(lines)]
+    lengths = [(ARTICLE if x[3] else 1) * x[1] if c else 0 for x, c in zip(lines, counts, strict=True)]
+    spans = spans_of(lengths, _threshold(lengths, 1 if held else SENTENCE), surges=[c and _sentence(x) for x, c in zip(lines, counts, strict=True)])
+    return "\n".join(lines[k][0] for a, b in spans for k in range(a, b) if lines[k][0] and counts[k]), spans
 
 
 def main_text(page: str | None) -> tuple[str, list[tuple[int, int]]]:
