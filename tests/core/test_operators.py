@@ -174,6 +174,7 @@ def test_dense_index_and_islands(spark):
 
 def test_headways(spark):
     assert scenario.thinned(np.array([0, 600, 1200, 1800]), 2.0).tolist() == [0, 1200]
+    assert scenario.thinned(np.array([100, 100, 200]), 1.0).tolist() == [100, 100, 200]
     assert scenario.thinned(np.array([0, 600, 1201]), 0.5).tolist() == [0, 300, 600, 901, 1201]
     trips = spark.createDataFrame([(0, 1, 0, "a"), (1, 1, 0, "b"), (2, 2, 1, "c")], "trip_idx long, route_idx long, pattern_idx long, source_trip_id string")
     times = spark.createDataFrame([(t, p, p, s + p * 60, s + p * 60, "observed") for t, s in ((0, 0), (1, 600), (2, 50)) for p in (0, 1)], "trip_idx long, position int, stop_idx long, arrival long, departure long, time_nature string")
@@ -252,3 +253,25 @@ def test_every_sql_has_a_query():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 80
+
+
+def test_within_distance_near_the_poles_and_the_date_line(spark):
+    import math
+    import random
+
+    from tramline.operators import joins
+
+    rng = random.Random(3)
+    spots = [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(60)] + [(rng.uniform(84, 90), rng.uniform(-180, 180)) for _ in range(60)]
+    spots += [(rng.uniform(-3, 3) + base, rng.choice((-180, 180)) + rng.uniform(-2, 2)) for base in (0, 65, -75) for _ in range(40)]
+    spots = [(k, lat, (lon + 180) % 360 - 180) for k, (lat, lon) in enumerate(spots)]
+
+    def metres(a, b):
+        (p, x), (q, y) = ([math.radians(v) for v in s[1:]] for s in (a, b))
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin((y - x) / 2) ** 2
+        return 2 * joins.EARTH_M * math.asin(math.sqrt(min(1, h)))
+
+    left = spark.createDataFrame(spots, "a long, lat double, lon double")
+    right = spark.createDataFrame(spots, "b long, lat_b double, lon_b double")
+    found = sorted((r["a"], r["b"]) for r in joins.within_distance(left, right, 150_000).collect())
+    assert found == sorted((a[0], b[0]) for a in spots for b in spots if metres(a, b) <= 150_000) and len(found) > len(spots)

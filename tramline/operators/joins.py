@@ -57,21 +57,27 @@ def full_with_zero(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFr
 
 
 def _cells(rows: DataFrame, lat: str, lon: str, degrees: float, spread: bool) -> DataFrame:
-    """With spread, every row in its cell and the eight around it."""
-    row, column = F.floor(F.col(lat) / degrees).cast("long"), F.floor(F.col(lon) / degrees).cast("long")
+    """Rows of `degrees` of latitude, cut into whole columns at least as wide as that distance at the row's polar edge.
+
+    With spread, every point in its cell and those around it, across the date line and at the poles too.
+    """
+    row = F.floor(F.col(lat) / degrees).cast("long")
+    out = rows.withColumn("_r", F.explode(F.array(*[row + i for i in (-1, 0, 1)])) if spread else row)
+    # The widest gap of longitude lies a little nearer the pole than the row itself.
+    edge = F.least(F.lit(90.0), F.greatest(F.abs(F.col("_r") - 1), F.abs(F.col("_r") + 2)) * degrees)
+    n = F.greatest(F.lit(1), F.floor(360 * F.cos(F.radians(edge)) / degrees)).cast("long")
+    at = F.floor((F.col(lon) + 180) / 360 * n).cast("long")
     if not spread:
-        return rows.withColumns({"_r": row, "_c": column})
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    out = rows.withColumns({"_r": row, "_c": column}).withColumn("_s", F.explode(steps))
-    return out.withColumns({"_r": F.col("_r") + F.col("_s.i"), "_c": F.col("_c") + F.col("_s.j")}).drop("_s")
+        return out.withColumn("_c", F.pmod(at, n))
+    return out.withColumn("_c", F.explode(F.array_distinct(F.array(*[F.pmod(at + j, n) for j in (-1, 0, 1)]))))
 
 
 def within_distance(
-    left: DataFrame, right: DataFrame, metres: float, left_at=("lat", "lon"), right_at=("lat_b", "lon_b"), highest_lat: float = 60.0,
-    on: list[str] | None = None, name: str = "metres",
+    left: DataFrame, right: DataFrame, metres: float, left_at=("lat", "lon"), right_at=("lat_b", "lon_b"), on: list[str] | None = None,
+    name: str = "metres",
 ) -> DataFrame:
-    """Pairs within a distance. Cells are as wide as the distance at `highest_lat`, so neighbours cover all pairs below it."""
-    degrees = metres / (EARTH_M * math.pi / 180) / math.cos(math.radians(highest_lat))
+    """Pairs within a distance, anywhere on the globe: points meet in cells at least as wide as the distance."""
+    degrees = metres / (EARTH_M * math.pi / 180)
     near = _cells(left, *left_at, degrees, False).join(_cells(right, *right_at, degrees, True), [*(on or []), "_r", "_c"])
     return near.withColumn(name, haversine_m(*left_at, *right_at)).where(F.col(name) <= metres).drop("_r", "_c")
 

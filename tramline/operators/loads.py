@@ -122,25 +122,37 @@ def gate_flows(gates: DataFrame, stations: DataFrame) -> DataFrame:
     return stations.select("station_idx").join(entries, "station_idx", "left").join(exits, "station_idx", "left").fillna(0.0)
 
 
-def peak_segments(loads: DataFrame, trips: DataFrame, window: tuple[int, int]) -> DataFrame:
-    """Per route and directed stop pair in the window: trips, passengers, highest load and factor, mean factor, capacity."""
+def peak_segments(loads: DataFrame, trips: DataFrame, routes: DataFrame, window: tuple[int, int]) -> DataFrame:
+    """Per route and directed stop pair in the window: trips, passengers, highest load and factor, capacity, mean factor, mode, short name.
+
+    The mean factor is passengers over the places that all its trips offer; segments without passengers stay.
+    """
     rows = loads.where(in_window(*window)).join(trips.select("trip_idx", "route_idx"), "trip_idx")
-    return rows.groupBy("route_idx", "from_stop_idx", "to_stop_idx").agg(
+    found = rows.groupBy("route_idx", "from_stop_idx", "to_stop_idx").agg(
         F.count(F.lit(1)).alias("trips"), F.sum("load").alias("passengers"), F.max("load").alias("max_load"),
-        F.max("load_factor").alias("max_load_factor"), F.avg("load_factor").alias("mean_load_factor"), F.min("capacity").alias("capacity"),
+        F.max("load_factor").alias("max_load_factor"), F.min("capacity").alias("capacity"),
     )
+    found = found.withColumn("mean_load_factor", F.try_divide("passengers", F.col("trips") * F.col("capacity")))
+    return found.join(routes.select("route_idx", "mode", "short_name"), "route_idx", "left")
 
 
-def load_bands(segments: DataFrame, factor: str = "max_load_factor") -> DataFrame:
-    """Segments and passengers by band of the load factor, with shares."""
-    band = (
-        F.when(F.col(factor) < 0.5, "under half").when(F.col(factor) < 1, "under full").when(F.col(factor) < 1.5, "over full").otherwise("over 1.5")
-    )
-    rows = segments.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("segments"), F.sum("passengers").alias("passengers"))
+#: Upper edges of the bands of a load factor, and their names. Fixed values.
+LOAD_EDGES = (0.5, 1.0, 1.5)
+LOAD_LABELS = ("under 0.5", "0.5-1.0", "1.0-1.5", "over 1.5")
+
+
+def load_bands(segments: DataFrame, mode: str = "bus") -> DataFrame:
+    """All bands of the mean load factor: segments of a mode and their passengers, with shares; a segment without factor counts as empty."""
+    own = segments.where(F.col("mode") == mode)
+    factor, band = F.coalesce("mean_load_factor", F.lit(0.0)), F.lit(LOAD_LABELS[-1])
+    for edge, label in reversed(list(zip(LOAD_EDGES, LOAD_LABELS))):  # the last label has no edge
+        band = F.when(factor < edge, label).otherwise(band)
+    rows = own.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("segments"), F.sum("passengers").alias("passengers"))
+    bands = segments.sparkSession.createDataFrame([(x,) for x in LOAD_LABELS], "band string")
+    rows = bands.join(rows, "band", "left").fillna(0, ["segments"]).fillna(0.0, ["passengers"])
     every = Window.partitionBy()  # four rows
-    return rows.withColumns(
-        {"share_segments": F.col("segments") / F.sum("segments").over(every), "share_passengers": F.try_divide("passengers", F.sum("passengers").over(every))}
-    )
+    shares = {f"share_{c}": F.coalesce(F.try_divide(F.col(c), F.sum(c).over(every)), F.lit(0.0)) for c in ("segments", "passengers")}
+    return rows.withColumns(shares)
 
 
 def crowding_segments(loads: DataFrame, trips: DataFrame, bin_s: int | None = None) -> DataFrame:

@@ -76,12 +76,13 @@ def load_scenario(path: str) -> Scenario:
 
 
 def thinned(departures: np.ndarray, factor: float) -> np.ndarray:
-    """Departures at the positions k * factor of the given ones: whole positions keep theirs, others lie between, rounded half up."""
+    """Departures at the positions k * factor of the given ones: whole positions keep theirs, equal ones too; others lie between, rounded half up."""
     places = np.arange(0, len(departures) - 1 + WHOLE, factor)
     near = np.round(places)
     whole = np.abs(places - near) <= WHOLE
     between = np.floor(np.interp(places, np.arange(len(departures)), departures) + 0.5)
-    return np.unique(np.where(whole, departures[near.astype(int)], between).astype(np.int64))
+    kept = departures[np.unique(near[whole].astype(int))]
+    return np.sort(np.concatenate([kept, np.unique(between[~whole])]).astype(np.int64))
 
 
 def new_departures(departures: np.ndarray, change: ModifyHeadway) -> np.ndarray:
@@ -110,6 +111,10 @@ def modify_headway(trips: DataFrame, stop_times: DataFrame, change: ModifyHeadwa
         after = np.minimum(after, len(times) - 1)
         earlier = (made - times[before] <= times[after] - made) & (times[after] != made)
         pick = np.where(earlier, before, after)
+        # Equal departures each keep a trip of their own.
+        again = np.arange(len(made)) - np.searchsorted(made, made, side="left")
+        own = times[np.minimum(pick + again, len(times) - 1)] == made
+        pick = np.where(own, np.minimum(pick + again, len(times) - 1), pick)
         return pd.DataFrame({"trip_idx": ids[pick], "shift": made - times[pick]})
 
     planned = own.select("pattern_idx", "trip_idx", "first").groupBy("pattern_idx").applyInPandas(plan, "trip_idx long, shift long")

@@ -78,19 +78,19 @@ def _(c):
     return loads.gate_flows(c.gates, c.stations)
 
 
-@query("e31_peak_segments", f"WITH {LOADS} SELECT t.route_idx, from_stop_idx, to_stop_idx, count(*) AS trips, round(sum(load), 6) AS passengers, round(max(load), 6) AS max_load, round(max(load_factor), 6) AS max_load_factor, round(avg(load_factor), 6) AS mean_load_factor, min(capacity) AS capacity FROM ld JOIN trips t USING (trip_idx) WHERE departure >= {PEAK[0]} AND departure < {PEAK[1]} GROUP BY ALL")
+@query("e31_peak_segments", f"WITH {LOADS} SELECT t.route_idx, from_stop_idx, to_stop_idx, count(*) AS trips, round(sum(load), 6) AS passengers, round(max(load), 6) AS max_load, round(max(load_factor), 6) AS max_load_factor, min(capacity) AS capacity, round(sum(load) / (count(*) * min(capacity)), 6) AS mean_load_factor, any_value(r.mode) AS mode, any_value(r.short_name) AS short_name FROM ld JOIN trips t USING (trip_idx) LEFT JOIN routes r ON r.route_idx = t.route_idx WHERE departure >= {PEAK[0]} AND departure < {PEAK[1]} GROUP BY t.route_idx, from_stop_idx, to_stop_idx")
 def _(c):
-    return rounded(loads.peak_segments(_loads(c), c.trips, PEAK))
+    return rounded(loads.peak_segments(_loads(c), c.trips, c.routes, PEAK))
 
 
 @query(
     "e32_load_bands",
-    f"""WITH {LOADS}, s AS (SELECT t.route_idx, from_stop_idx, to_stop_idx, sum(load) AS passengers, max(load_factor) AS f FROM ld JOIN trips t USING (trip_idx) WHERE departure >= {PEAK[0]} AND departure < {PEAK[1]} GROUP BY ALL),
-    b AS (SELECT CASE WHEN f < 0.5 THEN 'under half' WHEN f < 1 THEN 'under full' WHEN f < 1.5 THEN 'over full' ELSE 'over 1.5' END AS band, count(*) AS segments, sum(passengers) AS passengers FROM s GROUP BY 1)
-    SELECT band, segments, round(passengers, 6) AS passengers, round(segments / sum(segments) OVER (), 6) AS share_segments, round(passengers / sum(passengers) OVER (), 6) AS share_passengers FROM b""",
+    f"""WITH {LOADS}, s AS (SELECT t.route_idx, from_stop_idx, to_stop_idx, sum(load) AS passengers, coalesce(sum(load) / (count(*) * min(capacity)), 0) AS f FROM ld JOIN trips t USING (trip_idx) JOIN routes r ON r.route_idx = t.route_idx WHERE r.mode = 'bus' AND departure >= {PEAK[0]} AND departure < {PEAK[1]} GROUP BY t.route_idx, from_stop_idx, to_stop_idx),
+    b AS (SELECT band, count(f) AS segments, coalesce(sum(passengers), 0) AS passengers FROM (VALUES ('under 0.5', -1, 0.5), ('0.5-1.0', 0.5, 1), ('1.0-1.5', 1, 1.5), ('over 1.5', 1.5, 1e9)) v(band, lo, hi) LEFT JOIN s ON f >= lo AND f < hi GROUP BY band)
+    SELECT band, segments, round(passengers, 6) AS passengers, coalesce(round(segments / nullif(sum(segments) OVER (), 0), 6), 0) AS share_segments, coalesce(round(passengers / nullif(sum(passengers) OVER (), 0), 6), 0) AS share_passengers FROM b""",
 )
 def _(c):
-    return rounded(loads.load_bands(loads.peak_segments(_loads(c), c.trips, PEAK)))
+    return rounded(loads.load_bands(loads.peak_segments(_loads(c), c.trips, c.routes, PEAK)))
 
 
 @query("e33_crowding_segments", f"WITH {LOADS} SELECT from_stop_idx, to_stop_idx, count(*) AS vehicles, round(sum(load), 6) AS passengers, CAST(sum(capacity) AS BIGINT) AS capacity, round(max(load_factor), 6) AS max_load_factor FROM ld GROUP BY ALL")

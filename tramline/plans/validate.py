@@ -14,7 +14,7 @@ from tramline.operators.windows import duplicates, signature
 
 SCHEMA = "rule string, severity string, file string, n long, examples array<string>"
 #: Most kilometres an hour by route type, and other thresholds. Fixed values.
-SPEED_KMH = {0: 70, 1: 120, 2: 160, 3: 80, 4: 80, 12: 120}
+SPEED_KMH = {0: 70, 1: 120, 2: 160, 3: 80, 11: 80, 12: 120}
 DEFAULT_KMH = 150
 ZERO_HOP_M = 100
 NEAR_M = 5

@@ -86,9 +86,14 @@ def walk_segments(nodes: DataFrame, ways: DataFrame, box: tuple[float, float, fl
 
 
 #: Tags of places by category; the first match wins. Fixed values.
-HEALTH = ("hospital", "clinic", "doctors", "dentist", "pharmacy", "veterinary")
-EDUCATION = ("school", "college", "university", "kindergarten", "library", "training")
-FOOD = ("restaurant", "cafe", "fast_food", "bar", "pub", "food_court", "ice_cream")
+HEALTH = ("hospital", "clinic", "doctors", "dentist", "pharmacy")
+EDUCATION = ("school", "college", "university", "kindergarten")
+FOOD = ("restaurant", "cafe", "fast_food", "food_court", "bar", "pub", "ice_cream")
+NOT_A_PLACE = (
+    "atm", "bench", "bicycle_parking", "clock", "drinking_water", "fountain", "motorcycle_parking", "parking", "parking_entrance",
+    "parking_space", "post_box", "recycling", "shelter", "telephone", "toilets", "vending_machine", "waste_basket", "waste_disposal",
+    "water_point",
+)
 
 
 def classify(tags: Column) -> Column:
@@ -98,8 +103,8 @@ def classify(tags: Column) -> Column:
         F.when(tags["office"].isNotNull(), "office").when(tags["shop"].isNotNull(), "shop")
         .when(amenity.isin(*HEALTH) | tags["healthcare"].isNotNull(), "health").when(amenity.isin(*EDUCATION), "education")
         .when(amenity.isin(*FOOD), "food").when(tags["craft"].isNotNull(), "craft")
-        .when((tags["landuse"] == "industrial") | (tags["building"] == "industrial") | (tags["man_made"] == "works"), "industrial")
-        .when(amenity.isNotNull(), "amenity_other")
+        .when((tags["landuse"] == "industrial") | (tags["man_made"] == "works"), "industrial")
+        .when(amenity.isNotNull() & ~amenity.isin(*NOT_A_PLACE), "amenity_other")
     )
 
 
