@@ -209,9 +209,9 @@ def _(c):
     return joins.ride_access(c.zones.select("zone_idx", "lat", "lon"), stops, walks, 4.0, 15.0, 1.3, 5.0)
 
 
-@query("d10_nearest_stop", f"WITH d AS (SELECT z.zone_idx, s.stop_idx, {_hav('z.lat', 'z.lon', 's.lat', 's.lon')} AS metres FROM zones z, stops s WHERE s.stop_idx % 2 = 1) SELECT zone_idx, stop_idx, round(metres, 3) AS metres FROM d WHERE metres <= 6000 QUALIFY row_number() OVER (PARTITION BY zone_idx ORDER BY metres, stop_idx) = 1")
+@query("d10_nearest_stop", f"WITH d AS (SELECT z.zone_idx, s.stop_idx, {_hav('z.lat', 'z.lon', 's.lat', 's.lon')} AS metres FROM zones z, stops s) SELECT zone_idx, stop_idx, round(metres, 3) AS metres FROM d WHERE metres <= 6000 QUALIFY row_number() OVER (PARTITION BY zone_idx ORDER BY metres, stop_idx) = 1")
 def _(c):
-    stops = c.stops.where("stop_idx % 2 = 1").select("stop_idx", F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"))
+    stops = c.stops.select("stop_idx", F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"))
     return rounded(joins.nearest(c.zones, stops, "zone_idx", "stop_idx", 6000), 3)
 
 
@@ -231,11 +231,11 @@ def _(c):
     return joins.nearest_in_time(asks, c.trips.select("route_idx", "first_s", "trip_idx"), ["route_idx"], "at", "first_s", ["trip_idx"]).select("event_id", "at", "first_s")
 
 
-@query("d07_near_duplicates", f"SELECT a.stop_idx AS a, b.stop_idx AS b FROM stops a JOIN stops b ON a.stop_idx % 3 = b.stop_idx % 3 AND a.stop_idx < b.stop_idx WHERE {_hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 12000")
+@query("d07_near_duplicates", f"SELECT a.stop_idx AS a, b.stop_idx AS b FROM stops a JOIN stops b ON a.stop_idx < b.stop_idx WHERE {_hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 12000")
 def _(c):
-    left = c.stops.select(F.col("stop_idx").alias("a"), (F.col("stop_idx") % 3).alias("k"), "lat", "lon")
-    right = c.stops.select(F.col("stop_idx").alias("b"), (F.col("stop_idx") % 3).alias("k"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"))
-    return joins.within_distance(left, right, 12000, on=["k"]).where("a < b").select("a", "b")
+    left = c.stops.select(F.col("stop_idx").alias("a"), "lat", "lon")
+    right = c.stops.select(F.col("stop_idx").alias("b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"))
+    return joins.within_distance(left, right, 12000).where("a < b").select("a", "b")
 
 
 @query(
