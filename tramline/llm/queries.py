@@ -212,12 +212,13 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN f ON f.doc_id = d.doc_id LEFT JOIN r
 """
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Probability and draw of every document under the default targets."""
+    """Expected and drawn copies of every document under the default targets; expected shares are the targets."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    found = mixing.mix(docs, {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic_of(F.col("text"))})
+    dimensions = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic_of(F.col("text"))}
+    found = mixing.mix(docs, dimensions, copies=True)
     return found.select(
         "doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"),
-        F.round("mix_weight", 6).alias("weight"), F.round("mix_prob", 6).alias("prob"), F.col("mix_kept").alias("sampled"),
+        F.round("mix_weight", 6).alias("weight"), F.round("mix_prob", 6).alias("expected_copies"), F.col("mix_copies").cast("long").alias("copies"),
     )
 
 
@@ -250,17 +251,14 @@ cells AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS t FROM d
 own AS (SELECT *, {owns}, sum(t) OVER () AS total FROM cells),
 c0 AS (SELECT source, lang, topic, t, t AS fit, total, {shares} FROM own),
 {chain},
-w AS (SELECT source, lang, topic, t, total, CASE WHEN t > 0 THEN fit / t ELSE 0 END AS w FROM {last}),
-o AS (
-  SELECT *, coalesce(sum(t) OVER (ORDER BY w DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sure,
-    sum(w * t) OVER (ORDER BY w DESC, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM w),
-sc AS (
-  SELECT coalesce((SELECT ({mixing.KEEP} * total - sure) / rest FROM o WHERE w > 0 AND rest > 0 AND ({mixing.KEEP} * total - sure) / rest * w <= 1
-    ORDER BY w DESC, source, lang, topic LIMIT 1), (SELECT max(1 / nullif(w, 0)) FROM o)) AS scale),
-p AS (SELECT source, lang, topic, w, least(1.0, greatest(0.0, scale * w)) AS prob FROM w, sc)
-SELECT d.doc_id, d.source, d.lang, d.topic, d.n_tokens, round(CASE WHEN n_tokens = 0 THEN 1.0 ELSE w END, 6) AS weight,
-  round(CASE WHEN n_tokens = 0 THEN {mixing.KEEP} ELSE prob END, 6) AS prob, u < CASE WHEN n_tokens = 0 THEN {mixing.KEEP} ELSE prob END AS sampled
-FROM d JOIN p ON p.source IS NOT DISTINCT FROM d.source AND p.lang IS NOT DISTINCT FROM d.lang AND p.topic = d.topic
+f AS (SELECT sum(fit) AS fitted FROM {last}),
+w AS (SELECT source, lang, topic, CASE WHEN t > 0 THEN fit / t ELSE 0 END AS w, {mixing.KEEP} * total / nullif(fitted, 0) AS scale FROM {last}, f),
+p AS (
+  SELECT d.*, CASE WHEN n_tokens = 0 THEN 1.0 ELSE w END AS w, CASE WHEN n_tokens = 0 THEN {mixing.KEEP} ELSE w * coalesce(scale, 1) END AS e
+  FROM d JOIN w ON w.source IS NOT DISTINCT FROM d.source AND w.lang IS NOT DISTINCT FROM d.lang AND w.topic = d.topic)
+SELECT doc_id, source, lang, topic, n_tokens, round(w, 6) AS weight, round(e, 6) AS expected_copies,
+  CAST(floor(e) + CASE WHEN u < e - floor(e) THEN 1 ELSE 0 END AS BIGINT) AS copies
+FROM p
 """
 
 
