@@ -332,3 +332,34 @@ def test_digests_of_chat_query(spark):
     text = "</s>[INST] ok [/INST]"
     assert row["turns_sha256"] == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
     assert row["loss_sha256"] == hashlib.sha256(text.encode()).hexdigest() and row["loss_chars"] == len(text)
+
+
+def test_surrogates_of_a_whole_table_are_consistent_distinct_and_complete(spark):
+    """Every text against its original: only entities change, each always into the same, different ones into different ones."""
+    from tramline.llm.queries import op8_pii_surrogates
+
+    folder = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+    mapped, n = {}, 0
+    for r in op8_pii_surrogates(spark, folder).collect():
+        old, new = texts[r["doc_id"]], r["text"]
+        if old is None:
+            assert new is None and not r["n_entities"]
+            continue
+        at, parts, own = 0, [], []
+        for e in r["entities"]:
+            assert at <= e["start"] < e["end"] <= len(old)
+            parts.append(re.escape(old[at : e["start"]]))
+            own.append((e["type"], old[e["start"] : e["end"]]))
+            at = e["end"]
+        parts.append(re.escape(old[at:]))
+        match = re.fullmatch("(.+?)".join(parts), new, re.S)
+        assert match and len(own) == r["n_entities"]
+        for (kind, was), now in zip(own, match.groups(), strict=True):
+            n += 1
+            assert was != now or kind == "name"
+            if kind in ("email", "ssn", "iban", "ipv4", "number", "card"):
+                assert mapped.setdefault((kind, was), now) == now
+        for address in re.findall(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[a-z]{2,}", old):
+            assert address not in new
+    assert n > 20 and len({(k[0], v) for k, v in mapped.items()}) == len(mapped) > 5
