@@ -12,7 +12,7 @@ a probability of 1. The scale is raised until the expected tokens meet `keep` as
 closely as whole documents allow.
 
 The clipping gives the clipped tokens of rare cells to the others, so the mix then
-misses its targets. With `copies`, as the pipeline runs it, nothing is clipped: the
+misses its targets. With `copies`, as the query and the pipeline run it, nothing is clipped: the
 probability is the expected number of copies, `keep` times the weight, of which the
 whole part is always drawn and the fraction by the draw. The expected token shares
 are the targets, and the expected tokens `keep` of all.
