@@ -101,20 +101,22 @@ class Buckets:
     alike(x, y) is a condition on the columns of two members (names prefixed by
     "x." and "y.", from `sketch`: id, ...) that every linked pair meets. narrow(rows)
     adds columns to the rows (key, id, ...) of step 3, and near(x, y) is a condition
-    on them that every linked pair meets. `carried` names columns of sketch that the
-    conditions don't read; `self.sketch` holds them for the members of shared keys.
+    on them that every linked pair meets. With `spent`, the table behind members is
+    deleted as soon as the keys are read.
     """
 
     def __init__(
         self, members: DataFrame, alike: Callable[[str, str], Column] | None = None, sketch: DataFrame | None = None, narrow: Callable[[DataFrame], DataFrame] | None = None,
-        near: Callable[[str, str], Column] | None = None, carried: tuple[str, ...] = (),
+        near: Callable[[str, str], Column] | None = None, spent: bool = False,
     ):
-        self.alike, self.narrow, self.near, self.carried = alike, narrow, near, carried
+        self.alike, self.narrow, self.near = alike, narrow, near
         # The ends are plain values, so that a hash aggregate makes them.
         ends = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("x"), F.max("id").alias("y"))
         ends = written(ends.where("x <> y"), "buckets")
         star = members.join(ends.where("n > 2").select("key", F.col("x").alias("head")), "key").where("id <> head")
         self.star = written(star.select("key", "head", "id").distinct(), "star")
+        if spent:
+            discard(members)
         pairs = ends.where("n = 2").select("x", "y").union(self.star.select("head", "id"))
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         self.sketch = sketch
@@ -132,9 +134,8 @@ class Buckets:
         """The pairs (a, b) whose sketches are alike."""
         if self.sketch is None or self.alike is None:
             return pairs
-        own = [c for c in self.sketch.columns if c not in self.carried]
-        x = self.sketch.select(F.col("id").alias("a"), F.struct(*own).alias("x"))
-        y = self.sketch.select(F.col("id").alias("b"), F.struct(*own).alias("y"))
+        x = self.sketch.select(F.col("id").alias("a"), F.struct("*").alias("x"))
+        y = self.sketch.select(F.col("id").alias("b"), F.struct("*").alias("y"))
         return pairs.join(x, "a").join(y, "b").where(self.alike("x", "y")).select("a", "b")
 
     def candidates(self) -> DataFrame:
@@ -176,7 +177,7 @@ class Buckets:
         if self.narrow is not None:
             left = written(self.narrow(left), "narrowed")
         if self.sketch is not None:
-            left = left.join(self.sketch.drop(*self.carried), "id")
+            left = left.join(self.sketch, "id")
         # Members of a head meet in blocks, so that no task gets the whole of a large one.
         n = left.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n_blocks"))
         left = left.join(n, "key").withColumn("own", F.pmod(F.hash("id"), F.col("n_blocks")))
