@@ -187,6 +187,18 @@ def test_quality_edges(spark):
     assert quality.quality(docs_of(spark, []), labels).count() == 0
 
 
+def test_quality_passing_rows_are_the_kept_ones(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    own = docs.select("doc_id", "text").union(docs_of(spark, [(1, None), (1, ""), (None, "word " * 60), (1, "one two " * 9)]).select("doc_id", "text"))
+    own = own.withColumn("kept", F.lit("mine")).withColumn("score", F.lit("too"))
+    kept = sorted(((r["doc_id"] or -1) for r in quality.quality(own, labels).where("kept").collect()))
+    found = quality.passing(own, labels)
+    assert found.columns == own.columns and found.where("kept <> 'mine' or score <> 'too'").count() == 0
+    assert sorted(((r["doc_id"] or -1) for r in found.collect())) == kept and 0 < len(kept) < own.count()
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert quality.passing(docs_of(spark, []), labels).count() == 0
+
+
 # pages
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tramline.llm.shared import text_bytes, written
+from tramline.llm.shared import discard, text_bytes, written
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -202,12 +202,8 @@ def choose_threshold(bins: list[tuple[int, int, int]], max_false: float = MAX_FA
     return at
 
 
-def quality(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    sample_rows: int = SAMPLE_ROWS, max_false: float = MAX_FALSE_REJECTS,
-) -> DataFrame:
-    """One row per document: the statistics, base_failed, score, threshold and kept."""
-    stats = written(rule_statistics(docs, id_col, text_col), "quality")
+def _fit(stats: DataFrame, labels: DataFrame, sample_rows: int, max_false: float) -> tuple[Forest, float]:
+    """The forest, from the rows of smallest hash that pass the base rules, and the threshold, from all labelled rows."""
     worded = stats.where("not base_failed")
     # The smallest hashes lie below a bound of four times their expected number, so that few rows reach the driver.
     hashed = worded.select(F.xxhash64(F.lit(SEED), "doc_id", *FEATURES).alias("_h"), *FEATURES)
@@ -217,18 +213,54 @@ def quality(
     sample = hashed.orderBy("_h", *FEATURES).select(*FEATURES).limit(sample_rows)
     matrix = np.array([tuple(r) for r in sample.collect()], np.float64).reshape(-1, len(FEATURES))
     forest = Forest.fit(matrix)
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stats.schema)
-    scored = stats.mapInArrow(_score_batches(forest), f"{fields}, score double")
     marks = labels.where("doc_id is not null and quality is not null").groupBy(
         F.col("doc_id").cast("long").alias("_label_id")
     ).agg(F.max("quality").alias("_quality"))
     bins = (
-        scored.where("not base_failed").join(marks, F.col("doc_id") == F.col("_label_id"))
+        _scored(stats, forest).where("not base_failed").join(marks, F.col("doc_id") == F.col("_label_id"))
         .groupBy(F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
         .agg(F.count_if(F.col("_quality") > 0).alias("good"), F.count_if(F.col("_quality") <= 0).alias("bad"))
     )
     found = choose_threshold([tuple(r) for r in bins.collect()], max_false)
-    threshold = DEFAULT_THRESHOLD if found is None else found
-    return scored.withColumn("threshold", F.lit(float(threshold))).withColumn(
+    return forest, float(DEFAULT_THRESHOLD if found is None else found)
+
+
+def _scored(stats: DataFrame, forest: Forest) -> DataFrame:
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stats.schema)
+    return stats.mapInArrow(_score_batches(forest), f"{fields}, score double")
+
+
+def quality(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    sample_rows: int = SAMPLE_ROWS, max_false: float = MAX_FALSE_REJECTS,
+) -> DataFrame:
+    """One row per document: the statistics, base_failed, score, threshold and kept."""
+    stats = written(rule_statistics(docs, id_col, text_col), "quality")
+    forest, threshold = _fit(stats, labels, sample_rows, max_false)
+    return _scored(stats, forest).withColumn("threshold", F.lit(threshold)).withColumn(
         "kept", ~F.col("base_failed") & (F.col("score") < threshold)
     )
+
+
+def _keeps(forest: Forest, threshold: float):
+    def keeps(texts: pa.Array) -> pa.Array:
+        rows = [statistics_of(raw) for raw in text_bytes(texts)]
+        scores = forest.score(np.array([features for _, features in rows], np.float64).reshape(-1, len(FEATURES)))
+        failed = [n < MIN_WORDS or repeats * 100 > n * MAX_REPEAT_PERCENT for (n, _, _, _, repeats), _ in rows]
+        return pa.array([not bad and bool(score < threshold) for bad, score in zip(failed, scores, strict=True)], pa.bool_())
+
+    return F.arrow_udf(keeps, "boolean")
+
+
+def passing(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    sample_rows: int = SAMPLE_ROWS, max_false: float = MAX_FALSE_REJECTS,
+) -> DataFrame:
+    """The rows of docs that `quality` keeps, all columns unchanged, each row judged by its own text.
+
+    Texts are counted a second time rather than joined with their verdicts, so that no document is shuffled.
+    """
+    stats = written(rule_statistics(docs, id_col, text_col), "quality")
+    forest, threshold = _fit(stats, labels, sample_rows, max_false)
+    discard(stats)
+    return docs.where(_keeps(forest, threshold)(F.col(text_col).cast("string")))
