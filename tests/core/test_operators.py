@@ -183,6 +183,24 @@ def test_headways(spark):
     assert rows(new.where("position = 1"), "trip_idx", "departure", "time_nature") == [(0, 60, "observed"), (1, 360, "assumed"), (2, 660, "observed"), (3, 110, "observed")]
 
 
+def test_scenario_changes(spark):
+    trips = spark.createDataFrame([(0, 1, 0, "a"), (1, 1, 0, "b"), (2, 2, 1, "c"), (3, None, 2, "d")], "trip_idx long, route_idx long, pattern_idx long, source_trip_id string")
+    times = spark.createDataFrame([(t, p, p, s + p * 60, s + p * 60, "observed") for t, s in ((0, 0), (1, 600), (2, 50), (3, 70)) for p in (0, 1)], "trip_idx long, position int, stop_idx long, arrival long, departure long, time_nature string")
+    stops = spark.createDataFrame([(0, 0.0, 0.0), (1, 0.0, 0.01)], "stop_idx long, lat double, lon double")
+    left, calls = scenario.remove_route(trips, times, scenario.RemoveRoute(1))
+    assert sorted(rows(left, "trip_idx", "source_trip_id")) == [(0, "d"), (1, "c")]
+    assert sorted(rows(calls, "trip_idx", "position", "departure")) == [(0, 0, 70), (0, 1, 130), (1, 0, 50), (1, 1, 110)]
+    steps = (scenario.ModifyHeadway(1, factor=0.5), scenario.RemoveRoute(2), scenario.AddRoute(9, (0, 1), 0, 600, 600, 10.0))
+    made, calls, changes = scenario.apply_scenario(trips, times, stops, scenario.Scenario("x", steps))
+    assert rows(changes.orderBy("n"), "n", "type", "route_idx", "removed", "added") == [(1, "modify_headway", 1, 0, 1), (2, "remove_route", 2, 1, 0), (3, "add_route", 9, 0, 4)]
+    assert made.count() == 8 and calls.count() == 16 and calls.join(made, "trip_idx", "left_anti").isEmpty()
+    assert sorted(rows(made.where("route_idx = 9"), "pattern_idx", "source_trip_id")) == [(3, "9-0@00:00:00"), (3, "9-0@00:10:00"), (4, "9-1@00:00:00"), (4, "9-1@00:10:00")]
+    with pytest.raises(ValueError, match="unknown"):
+        scenario.apply_scenario(trips, times, stops, scenario.Scenario("x", (scenario.RemoveRoute(7),)))
+    none = scenario.apply_scenario(trips, times, stops, scenario.Scenario("x"))[2]
+    assert none.count() == 0
+
+
 def test_fronts_agree(spark):
     def evaluate(x):
         vehicles = np.ceil(60 / x).sum(1)

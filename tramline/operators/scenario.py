@@ -135,7 +135,7 @@ def _copies(trips: DataFrame, stop_times: DataFrame, planned: DataFrame, route:
         F.col("trip_idx"), "position", "stop_idx", (F.col("arrival") + F.col("shift")).alias("arrival"),
         (F.col("departure") + F.col("shift")).alias("departure"), F.when(moved, "assumed").otherwise(F.col("time_nature")).alias("time_nature"), "_name",
     )
-    rest = trips.where(F.col("route_idx") != route)
+    rest = trips.where(~F.col("route_idx").eqNullSafe(F.lit(route)))
     all_trips = rest.withColumn("_key", F.col("source_trip_id")).unionByName(changed.drop("shift").withColumn("_key", F.col("source_trip_id")))
     kept = stop_times.join(rest.select("trip_idx", F.col("source_trip_id").alias("_name")), "trip_idx")
     all_times = kept.unionByName(times)
@@ -182,6 +182,51 @@ def add_route(stops: DataFrame, route: AddRoute) -> DataFrame:
     )
 
 
+def remove_route(trips: DataFrame, stop_times: DataFrame, change: RemoveRoute) -> tuple[DataFrame, DataFrame]:
+    """trips and stop_times without the route's trips, numbered anew; trips without a route stay."""
+    kept = trips.where(~F.col("route_idx").eqNullSafe(F.lit(change.route_idx))).withColumn("_key", F.col("source_trip_id"))
+    times = stop_times.join(kept.select("trip_idx", F.col("_key").alias("_name")), "trip_idx")
+    return renumber(kept, times)
+
+
+def with_route(trips: DataFrame, stop_times: DataFrame, stops: DataFrame, route: AddRoute) -> tuple[DataFrame, DataFrame]:
+    """trips and stop_times with those of a new route; its patterns follow the last one, its times are `assumed`, other columns null."""
+    clock = F.format_string("%d-%d@%02d:%02d:%02d", "route_idx", "direction", (F.col("first") / 3600).cast("int"), (F.col("first") / 60).cast("int") % 60, F.col("first") % 60)
+    calls = add_route(stops, route).withColumn("_name", clock).withColumn("time_nature", F.lit("assumed"))
+    last = trips.agg(F.coalesce(F.max("pattern_idx"), F.lit(-1)).alias("_last"))
+    new = calls.where("position = 0").select("route_idx", "direction", "_name").crossJoin(F.broadcast(last))  # one row
+    made = {"route_idx": F.col("route_idx"), "pattern_idx": F.col("_last") + 1 + F.col("direction"), "source_trip_id": F.col("_name")}
+    typed = [made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in trips.schema]
+    every = trips.unionByName(new.select(*typed)).withColumn("_key", F.col("source_trip_id"))
+    old = stop_times.join(trips.select("trip_idx", F.col("source_trip_id").alias("_name")), "trip_idx")
+    columns = ["position", "stop_idx", "arrival", "departure", "time_nature", "_name"]
+    times = old.select(*columns).unionByName(calls.select(*columns)).withColumn("trip_idx", F.lit(None).cast("long"))
+    return renumber(every, times)
+
+
+def apply_scenario(trips: DataFrame, stop_times: DataFrame, stops: DataFrame, scenario: Scenario) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """trips, stop_times after all mutations in their order, and the changes: n (from 1), type, route_idx, removed, added (trips by name)."""
+    names = {kind: name for name, kind in KINDS.items()}
+    changes = None
+    for n, change in enumerate(scenario.mutations, 1):
+        before, held = trips, trips.where(F.col("route_idx") == change.route_idx).isEmpty()
+        if held != isinstance(change, AddRoute):
+            raise ValueError(f"mutation {n}: route {change.route_idx} {'is unknown' if held else 'exists already'}")
+        if isinstance(change, RemoveRoute):
+            trips, stop_times = remove_route(trips, stop_times, change)
+        elif isinstance(change, ModifyHeadway):
+            trips, stop_times = modify_headway(trips, stop_times, change)
+        else:
+            trips, stop_times = with_route(trips, stop_times, stops, change)
+        own, new = before.select("source_trip_id", F.lit(1).alias("_a")), trips.select("source_trip_id", F.lit(1).alias("_b"))
+        row = own.join(new, "source_trip_id", "full").agg(F.count_if(F.col("_b").isNull()).alias("removed"), F.count_if(F.col("_a").isNull()).alias("added"))
+        row = row.select(F.lit(n).alias("n"), F.lit(names[type(change)]).alias("type"), F.lit(change.route_idx).cast("long").alias("route_idx"), "removed", "added")
+        changes = row if changes is None else changes.unionByName(row)
+    if changes is None:
+        changes = trips.sparkSession.createDataFrame([], "n int, type string, route_idx long, removed long, added long")
+    return trips, stop_times, changes
+
+
 def zone_deltas(a: DataFrame, b: DataFrame, measure: str) -> DataFrame:
     """zone_idx, a, b, delta over both networks' zones; a missing side counts as 0."""
     left = a.select("zone_idx", F.col(measure).cast("double").alias("a"))

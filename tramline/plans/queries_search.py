@@ -132,6 +132,18 @@ def _(c):
     return scenario.direction_check(_matrix(c).select((F.col("p75_s") - F.col("p50_s")).alias("delta")), True, False)
 
 
+@query(
+    "n01_remove_route",
+    """SELECT row_number() OVER (ORDER BY route_idx, direction_id, first_s, CAST(trip_idx AS VARCHAR)) - 1 AS trip_idx, route_idx,
+        direction_id AS pattern_idx, CAST(trip_idx AS VARCHAR) AS source_trip_id FROM trips WHERE route_idx <> 3""",
+)
+def _(c):
+    """All routes but the third, trips numbered anew."""
+    trips = c.trips.select("trip_idx", "route_idx", F.col("direction_id").alias("pattern_idx"), F.col("trip_idx").cast("string").alias("source_trip_id"))
+    times = c.stop_times.withColumn("time_nature", F.lit("observed"))
+    return scenario.remove_route(trips, times, scenario.RemoveRoute(3))[0]
+
+
 @query("n03_modify_headway")
 def _(c):
     """Route 3 at half its headway, over all patterns."""
