@@ -411,3 +411,32 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     assert set(last) <= set(clean) and "mix_prob" in five.columns
     run = {r["doc_id"] for r in p.run(spark, str(tmp_path)).collect()}
     assert run == set(last)
+
+
+def test_texts_of_pairs_move_once_a_cell(spark):
+    """300 lines paired with each other, and some pairs apart: every pair gets its texts, and no row is dealt anew once it has one."""
+    dense = [(a, b) for a in range(300) for b in range(a + 1, 300)]
+    apart = [(-(1 << 62) - k, (1 << 62) + k) for k in range(40)]
+    pairs = spark.createDataFrame(dense + apart, "a long, b long")
+    ids = sorted({x for p in dense + apart for x in p})
+    texts = spark.createDataFrame([(x, f"t{x}", f"w{x}", x % 7) for x in ids], "id long, norm string, w string, m int")
+    found = linedup._with_texts(pairs, texts)
+    rows = found.collect()
+    assert sorted((r["a"], r["b"]) for r in rows) == sorted(dense + apart)
+    assert all((r["x"], r["wx"], r["mx"], r["y"], r["wy"], r["my"]) == (f"t{r['a']}", f"w{r['a']}", r["a"] % 7, f"t{r['b']}", f"w{r['b']}", r["b"] % 7) for r in rows)
+    sent = found.select("cell", "a").distinct().count() + found.select("cell", "b").distinct().count()
+    assert sent < len(rows) / 10
+
+
+def test_linked_members_are_not_compared_with_the_second_head(spark):
+    members = spark.createDataFrame([(1, x) for x in (1, 2, 3, 4, 5)], "key long, id long")
+    asked = []
+
+    def verify(pairs):
+        asked.append({(r["a"], r["b"]) for r in pairs.collect()})
+        odd = (F.col("a") % 2 == 1) & (F.col("b") % 2 == 1)
+        return pairs.select("a", "b", F.when(odd, 0.9).otherwise(0.1).alias("sim"), odd.alias("linked"))
+
+    found = {r["node"]: r["component"] for r in graph.Buckets(members).link(verify).collect()}
+    assert found == {1: 1, 3: 1, 5: 1}
+    assert asked == [{(1, 2), (1, 3), (1, 4), (1, 5)}, {(2, 5), (4, 5)}, {(2, 3), (2, 4), (3, 4)}]
