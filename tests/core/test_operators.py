@@ -293,3 +293,18 @@ def test_within_distance_near_the_poles_and_the_date_line(spark):
     right = spark.createDataFrame(spots, "b long, lat_b double, lon_b double")
     found = sorted((r["a"], r["b"]) for r in joins.within_distance(left, right, 150_000).collect())
     assert found == sorted((a[0], b[0]) for a in spots for b in spots if metres(a, b) <= 150_000) and len(found) > len(spots)
+
+
+def test_percentiles_gather_no_values_in_one_task(spark):
+    rng = random.Random(7)
+    values = [rng.choice([1.5, 2.0, rng.random() * 1e6]) for _ in range(5000)] + [None, -3.0]
+    frame = spark.createDataFrame([(v,) for v in values], "v double")
+    shares = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    found = stats.percentiles(frame, F.col("v"), shares)
+    row = found.first()
+    held = np.array([v for v in values if v is not None])
+    assert row["mean"] == pytest.approx(held.mean())
+    assert [row[k] for k in shares] == pytest.approx([np.quantile(held, p) for p in shares.values()])
+    assert tuple(stats.percentiles(frame.where("false"), F.col("v"), shares).first()) == (None,) * 5
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan and "collect" not in plan

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tramline.plans.scratch import written
+
 
 def nearest_rank(value: str, percents: list[int], sentinel: int = 1 << 30) -> list[Column]:
     """Nearest-rank percentiles with nulls as infinite; null where the rank meets one."""
@@ -27,6 +29,33 @@ def weighted_quantiles(rows: DataFrame, keys: list[str], value: str, weight: str
     return steps.groupBy(*keys).agg(*picked)
 
 
+def percentiles(rows: DataFrame, value: Column, shares: dict[str, float]) -> DataFrame:
+    """One row: mean and the exact percentiles (linear between neighbours, nulls left out) by name; nulls without values.
+
+    Values are counted, dealt by ranges and the ranks looked up in the ranges that hold them, so that no task gathers all values.
+    """
+    counts = rows.select(value.cast("double").alias("x")).where("x is not null").groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    # Written, as the numbers of the ranges must be the same each time they are read.
+    ranged = written(counts.repartitionByRange("x").select("x", "n", F.spark_partition_id().alias("part")), "ranges")
+    parts = ranged.groupBy("part").agg(F.sum("n").alias("here"), F.sum(F.col("x") * F.col("n")).alias("sum"))
+    order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)  # one row a range
+    parts = parts.withColumn("before", F.sum("here").over(order) - F.col("here"))
+    parts = parts.select("*", F.sum("here").over(Window.partitionBy()).alias("total"), F.sum("sum").over(Window.partitionBy()).alias("sums"))
+    wanted = F.array(*(F.struct(F.lit(name).alias("name"), ((F.col("total") - 1) * F.lit(p)).alias("at")) for name, p in shares.items()))
+    asked = parts.select("part", "before", "here", F.explode(wanted).alias("w")).select("part", "before", "here", "w.name", "w.at")
+    asked = asked.where((F.col("before") <= F.ceil("at")) & (F.col("before") + F.col("here") > F.floor("at")))
+    steps = ranged.join(F.broadcast(asked.select("part", "before").distinct()), "part")
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy("x"))
+    steps = steps.select("part", "x", (F.col("before") + upto).alias("upto"), (F.col("before") + upto - F.col("n")).alias("from"))
+    found = steps.join(F.broadcast(asked.select("part", "name", "at")), "part")
+    holds = lambda rank: F.max(F.when((F.col("from") <= rank) & (F.col("upto") > rank), F.col("x")))
+    found = found.groupBy("name", "at").agg(holds(F.floor("at")).alias("low"), holds(F.ceil("at")).alias("high"))
+    part = F.col("at") - F.floor("at")
+    found = found.select("name", F.when(part == 0, F.col("low")).otherwise(F.col("low") * (1 - part) + F.col("high") * part).alias("v"))
+    mean = parts.agg(F.max(F.col("sums") / F.col("total")).alias("mean"))
+    return mean.crossJoin(found.agg(*(F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in shares)))
+
+
 def weighted_gini(rows: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
     """Per group: sum of w x (below - above) over (W squared times the mean); 0 without weight or mean."""
     order = Window.partitionBy(*keys).orderBy(value)

@@ -106,7 +106,7 @@ def _(c):
 @query("e51_ratio_percentiles", "SELECT round(avg(l_extendedprice / l_quantity), 6) AS mean, round(quantile_cont(l_extendedprice / l_quantity, 0.5), 6) AS p50, round(quantile_cont(l_extendedprice / l_quantity, 0.95), 6) AS p95 FROM lineitem")
 def _(c):
     x = F.col("l_extendedprice") / F.col("l_quantity")
-    return rounded(c.lineitem.agg(F.avg(x).alias("mean"), F.percentile(x, 0.5).alias("p50"), F.percentile(x, 0.95).alias("p95")))
+    return rounded(stats.percentiles(c.lineitem, x, {"p50": 0.5, "p95": 0.95}))
 
 
 @query("e55_straight_km", f"SELECT a.zone_idx AS origin_zone, b.zone_idx AS dest_zone, round({_hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} / 1000, 6) AS distance_km FROM (SELECT DISTINCT origin_zone, dest_zone FROM od) o JOIN zones a ON a.zone_idx = o.origin_zone JOIN zones b ON b.zone_idx = o.dest_zone")
