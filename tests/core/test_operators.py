@@ -308,3 +308,23 @@ def test_percentiles_gather_no_values_in_one_task(spark):
     assert tuple(stats.percentiles(frame.where("false"), F.col("v"), shares).first()) == (None,) * 5
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "percentile(" not in plan and "collect" not in plan
+
+
+def test_usable_trips_give_the_same_travel_times(spark):
+    rng = random.Random(3)
+    trips = []
+    for k in range(400):
+        stops = tuple(rng.sample(range(8), 4)) if k % 3 else (0, 1, 2, 3)
+        start = rng.randrange(0, 9000, 60)
+        trips.append((k, stops, tuple(start + 200 * p for p in range(4)), tuple(start + 200 * p + 20 for p in range(4))))
+    trips += [(400 + k, *t[1:]) for k, t in enumerate(trips)]  # every trip twice
+    calls = [(t, p, s, a, d) for t, stops, arrivals, leaves in trips for p, (s, a, d) in enumerate(zip(stops, arrivals, leaves, strict=True))]
+    frame = spark.createDataFrame(calls, "trip_idx long, position long, stop_idx long, arrival long, departure long")
+    departures, limit = [3000, 3300, 3600], 1500
+    found = [(r["trip"], tuple(r["stops"]), tuple(r["arrivals"]), tuple(r["departures"])) for r in search.usable_trips(frame, departures, limit).collect()]
+    assert len(found) < 200 and all(t[0] < 400 for t in found)
+    egress = {z: [(z, 30)] for z in range(8)}
+    times = [
+        [search.travel_times(search.Timetable(search.fifo_routes(x), 8), [(s, 30)], departures, egress, {}, limit) for s in range(8)] for x in (trips, found)
+    ]
+    assert times[0] == times[1] and any(times[0])

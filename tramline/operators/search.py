@@ -264,6 +264,18 @@ def travel_times(
     return out
 
 
+def usable_trips(calls: DataFrame, departures: list[int], limit_s: int) -> DataFrame:
+    """trip, stops, arrivals, departures: all that a search over these departures can use, trips of equal calls once (the least number).
+
+    calls: trip_idx, position, stop_idx, arrival, departure, times not running backwards. A call left before the
+    first departure can't be boarded, one reached after the last departure and the limit leads to no result.
+    """
+    near = calls.where((F.col("departure") >= min(departures)) & (F.col("arrival") <= max(departures) + limit_s))
+    rows = near.groupBy("trip_idx").agg(F.array_sort(F.collect_list(F.struct("position", "stop_idx", "arrival", "departure"))).alias("x"))
+    rows = rows.where(F.size("x") > 1).select("trip_idx", F.col("x.stop_idx").alias("stops"), F.col("x.arrival").alias("arrivals"), F.col("x.departure").alias("departures"))
+    return rows.groupBy("stops", "arrivals", "departures").agg(F.min("trip_idx").alias("trip")).select("trip", "stops", "arrivals", "departures")
+
+
 def matrix(
     origins: DataFrame, timetable: Timetable, departures: list[int], egress: dict, limit_s: int, percents=(25, 50, 75), params: Params = Params()
 ) -> DataFrame:

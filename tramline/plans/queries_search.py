@@ -41,17 +41,16 @@ def _(c):
 @query("j07_search_matrix")
 def _(c):
     """Travel-time percentiles of all zones over ten departures, on the timetable of every trip."""
-    rows = c.stop_times.groupBy("trip_idx").agg(F.array_sort(F.collect_list(F.struct("position", "stop_idx", "arrival", "departure"))).alias("x"))
-    trips = [
-        (r["trip_idx"], tuple(y["stop_idx"] for y in r["x"]), tuple(y["arrival"] for y in r["x"]), tuple(y["departure"] for y in r["x"]))
-        for r in rows.toLocalIterator()  # a city's timetable: the search kernel holds it whole
-    ]
+    departures, limit = list(range(28800, 29400, 60)), 7200
+    rows = search.usable_trips(c.stop_times, departures, limit)
+    # The search kernel holds the city's timetable of these hours whole.
+    trips = [(r["trip"], tuple(r["stops"]), tuple(r["arrivals"]), tuple(r["departures"])) for r in rows.toLocalIterator()]
     timetable = search.Timetable(search.fifo_routes(trips), 25)
     egress = {z: [(z, 120)] for z in range(25)}
     one = F.array(F.struct(F.col("zone_idx").alias("stop"), F.lit(120).alias("seconds")))
     walks = F.array(F.struct(F.col("zone_idx").alias("zone"), F.lit(0).alias("seconds")))
     origins = c.zones.select(F.col("zone_idx").alias("origin_zone"), one.alias("access"), walks.alias("walks")).repartition(8)
-    return search.matrix(origins, timetable, list(range(28800, 29400, 60)), egress, 7200)
+    return search.matrix(origins, timetable, departures, egress, limit)
 
 
 EDGES = "ge AS (SELECT zone_idx AS u, zone_idx + 1 AS v FROM zones WHERE zone_idx % 6 < 4 UNION ALL SELECT zone_idx, (5 * zone_idx) % 12 FROM zones WHERE zone_idx % 2 = 0 AND zone_idx < 12 AND zone_idx <> (5 * zone_idx) % 12)"
