@@ -440,3 +440,64 @@ def test_linked_members_are_not_compared_with_the_second_head(spark):
     found = {r["node"]: r["component"] for r in graph.Buckets(members).link(verify).collect()}
     assert found == {1: 1, 3: 1, 5: 1}
     assert asked == [{(1, 2), (1, 3), (1, 4), (1, 5)}, {(2, 5), (4, 5)}, {(2, 3), (2, 4), (3, 4)}]
+
+
+def test_undecided_lines_are_compared_without_a_row_for_each_pair(spark, monkeypatch):
+    """Lines around one text, most of them just beyond 0.8 of each other: the links of all pairs, and no table with as many rows as there are pairs."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnoprst") for _ in range(rng.randint(4, 8))) for _ in range(900)]
+    base = [rng.choice(words) for _ in range(40)]
+
+    def edited(share):
+        return " ".join(w if rng.random() > share or 8 <= k < 20 else rng.choice(words) for k, w in enumerate(base))
+
+    lines = [edited(0.25) for _ in range(60)]
+    linked = [
+        (a, b) for a in range(len(lines)) for b in range(a)
+        if levenshtein(lines[a], lines[b]) <= max(len(lines[a]), len(lines[b])) * 0.2 + 1e-9
+    ]
+    first = {}
+    want = {k for k, t in enumerate(closed(len(lines), linked)) if first.setdefault(t, k) == k}
+    sizes = []
+
+    def counted(df, tag, codec="snappy", write=linedup.written):
+        out = write(df, tag, codec)
+        if tag in ("pairs", "placed", "decided"):
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "written", counted)
+    monkeypatch.setattr(linedup, "written", counted)
+    docs = docs_of(spark, list(enumerate(lines)))
+    assert {r["doc_id"] for r in linedup.dedup_lines(docs, whole=True).where("n_removed_lines = 0").collect()} == want
+    # Three heads at most are compared with all; what the last step writes are links.
+    assert 10 < len(want) < 50 and max(sizes) <= max(3 * len(lines), len(linked)) < len(lines) ** 2 / 8
+
+
+def test_whole_line_dedup_links_lines_with_a_letter_changed_in_most_words(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghijklmnoprst") for _ in range(9)) for _ in range(12)]
+    other = words[:4] + ["x" + w[1:] for w in words[4:]]
+    found = linedup.dedup_lines(docs_of(spark, [(1, " ".join(words)), (2, " ".join(other))]), whole=True)
+    assert {r["doc_id"]: r["n_removed_lines"] for r in found.collect()} == {1: 0, 2: 1}
+
+
+def test_members_of_many_blocks_are_decided_where_they_meet(spark, monkeypatch):
+    """150 members of one key in blocks of 16: the links of all pairs, found without a third call of verify."""
+    monkeypatch.setattr(graph, "DECIDED", 16)
+    n, asked = 150, []
+    members = spark.createDataFrame([(1, x) for x in range(n)], "key long, id long")
+    sketch = members.select("id", (F.col("id") * 37 % 149).alias("v"))
+
+    def decide(x, y):
+        return F.abs(F.col(f"{x}.v") - F.col(f"{y}.v")) == 7
+
+    def verify(pairs):
+        asked.append(pairs.count())
+        both = pairs.join(sketch.select(F.col("id").alias("a"), F.col("v").alias("x")), "a").join(sketch.select(F.col("id").alias("b"), F.col("v").alias("y")), "b")
+        return both.select("a", "b", F.lit(0.5).alias("sim"), (F.abs(F.col("x") - F.col("y")) == 7).alias("linked"))
+
+    found = {r["node"]: r["component"] for r in graph.Buckets(members, sketch=sketch, decide=decide).link(verify).collect()}
+    value = [k * 37 % 149 for k in range(n)]
+    want = closed(n, [(a, b) for a in range(n) for b in range(a) if abs(value[a] - value[b]) == 7])
+    assert {k: found.get(k, k) for k in range(n)} == {k: min(j for j in range(n) if want[j] == want[k]) for k in range(n)} and len(asked) == 2
