@@ -501,3 +501,23 @@ def test_members_of_many_blocks_are_decided_where_they_meet(spark, monkeypatch):
     value = [k * 37 % 149 for k in range(n)]
     want = closed(n, [(a, b) for a in range(n) for b in range(a) if abs(value[a] - value[b]) == 7])
     assert {k: found.get(k, k) for k in range(n)} == {k: min(j for j in range(n) if want[j] == want[k]) for k in range(n)} and len(asked) == 2
+
+
+def test_few_edges_are_linked_without_an_exchange(spark, monkeypatch):
+    rng = random.Random(9)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)]
+    frame = spark.createDataFrame(edges, "u long, v long").repartition(5)
+    exchanges = []
+
+    def planned(df, tag, write=graph.written):
+        exchanges.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return write(df, tag)
+
+    monkeypatch.setattr(graph, "written", planned)
+    want = closed(400, edges)
+    for few in (graph.ONE_TASK, 0):
+        monkeypatch.setattr(graph, "ONE_TASK", few)
+        exchanges.clear()
+        found = {r["node"]: r["component"] for r in graph.components(frame).collect()}
+        assert {k: found.get(k, k) for k in range(400)} == {k: min(j for j in range(400) if want[j] == want[k]) for k in range(400)}
+        assert len(exchanges) > 1 and (max(exchanges) == 0) == bool(few)

@@ -17,25 +17,32 @@ from tramline.llm.shared import discard, written
 
 #: Members of a key that one task compares with as many others, and the same where the comparison decides by itself.
 BLOCK, DECIDED = 1024, 256
+#: Edges up to this number (16 bytes each) are linked in one task, so that a pass needs no exchange; more are dealt out.
+ONE_TASK = 1 << 17
 
 
 def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def large_star(edges: DataFrame) -> DataFrame:
+def large_star(edges: DataFrame, few: bool = False) -> DataFrame:
     """Each node's larger neighbours are linked with the smallest of its neighbourhood."""
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = _together(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), few)
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def small_star(edges: DataFrame) -> DataFrame:
+def small_star(edges: DataFrame, few: bool = False) -> DataFrame:
     """Each node and its smaller neighbours are linked with the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
     near = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return near.union(least.select("u", F.col("m").alias("v"))).distinct()
+    return _together(near.union(least.select("u", F.col("m").alias("v"))), few).distinct()
+
+
+def _together(frame: DataFrame, few: bool) -> DataFrame:
+    """In one partition, without an exchange, if there are few rows."""
+    return frame.coalesce(1) if few else frame
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -43,19 +50,23 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star, each pass written to the shared folder,
     until the edges are the stars of the components. Self-links and nulls are ignored.
+    No pass has more edges than the one before it, so that few stay few.
     """
-    now = written(edges.select("u", "v").where("u <> v").distinct(), "edges")
-    before = _signature(now)
+    links = edges.select("u", "v").where("u <> v")
+    few = links.count() <= ONE_TASK
+    now = written(_together(links, few).distinct(), "edges")
+    before = _signature(_together(now, few))
     while before[0]:
-        following = written(small_star(large_star(now)), "edges")
-        after = _signature(following)
+        following = written(small_star(large_star(_together(now, few), few), few), "edges")
+        after = _signature(_together(following, few))
         discard(now)
         now = following
         if after == before:
             break
         before = after
-    centres = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(centres)
+    edges = _together(now, few)
+    centres = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    out = _together(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(centres), few)
     out._tramline_path = now._tramline_path
     return out
 
