@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -521,3 +522,14 @@ def test_few_edges_are_linked_without_an_exchange(spark, monkeypatch):
         found = {r["node"]: r["component"] for r in graph.components(frame).collect()}
         assert {k: found.get(k, k) for k in range(400)} == {k: min(j for j in range(400) if want[j] == want[k]) for k in range(400)}
         assert len(exchanges) > 1 and (max(exchanges) == 0) == bool(few)
+
+
+def test_scratch_tables_make_a_file_a_task_and_no_others(spark):
+    """Every further file costs the executor or the driver a launched process, which counts with all of their memory."""
+    found = linedup.written(spark.range(1000).repartition(4), "few")
+    path = Path(found._tramline_path.removeprefix("file:"))
+    names = sorted(p.name for p in path.iterdir())
+    assert len(names) == 4 and all(re.fullmatch(r"part-.*\.parquet", n) for n in names)
+    assert found.count() == 1000 and found.agg(F.sum("id")).first()[0] == 499500
+    linedup.discard(found)
+    assert not path.exists()
